@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brinewell.llm.mixture import mixture_report
 from brinewell.llm.quality import quality_scores
 from brinewell.llm.shared import read
+from brinewell.llm.simhash import simhash_report
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(read(spark, sf_dir, "documents"))
+
+
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_source_mixture": op7_source_mixture,
 }
 
 SQL: dict[str, str] = {}

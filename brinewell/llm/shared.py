@@ -22,13 +22,17 @@ def fold(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared checkpoint folder; it is deleted when the application ends."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where it is unset, as on a single machine, one of our own."""
     sc = spark.sparkContext
-    base = sc.getCheckpointDir()
-    if base is None:  # a single machine: no shared folder was named
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="brinewell-"))
-        base = sc.getCheckpointDir()
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared checkpoint folder; it is deleted when the application ends."""
+    sc, base = spark.sparkContext, shared_folder(spark)
     path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
     hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
