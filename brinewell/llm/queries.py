@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from brinewell.llm.decontaminate import find_overlaps
 from brinewell.llm.mixture import mixture_report
 from brinewell.llm.quality import quality_scores
 from brinewell.llm.shared import read
 from brinewell.llm.simhash import simhash_report
+from brinewell.llm.tokenfiles import token_file_report
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(read(spark, sf_dir, "documents"))
 
@@ -24,10 +31,16 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(read(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_source_mixture": op7_source_mixture,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
