@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from brinewell.llm.decontaminate import find_overlaps
+from brinewell.llm.minhash import fingerprint_report
 from brinewell.llm.mixture import mixture_report
 from brinewell.llm.quality import quality_scores
 from brinewell.llm.shared import read
@@ -31,6 +32,10 @@ def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(read(spark, sf_dir, "documents"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(read(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_source_mixture": op7_source_mixture,
+    "op8_document_fingerprints": op8_document_fingerprints,
     "op10_token_files": op10_token_files,
 }
 
