@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from brinewell.llm.decontaminate import find_overlaps
+from brinewell.llm.langid import language_report
 from brinewell.llm.minhash import fingerprint_report
 from brinewell.llm.mixture import mixture_report
 from brinewell.llm.quality import quality_scores
@@ -28,6 +29,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(read(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(read(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_language_id": op5_language_id,
     "op7_source_mixture": op7_source_mixture,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op10_token_files": op10_token_files,
