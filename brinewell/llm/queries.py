@@ -11,6 +11,7 @@ from brinewell.llm.decontaminate import find_overlaps
 from brinewell.llm.langid import language_report
 from brinewell.llm.minhash import fingerprint_report
 from brinewell.llm.mixture import mixture_report
+from brinewell.llm.pii import pii_report
 from brinewell.llm.quality import quality_scores
 from brinewell.llm.shared import read
 from brinewell.llm.simhash import simhash_report
@@ -33,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(read(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(read(spark, sf_dir, "documents"))
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(read(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op7_source_mixture": op7_source_mixture,
     "op8_document_fingerprints": op8_document_fingerprints,
     "op10_token_files": op10_token_files,
