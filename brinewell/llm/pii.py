@@ -164,7 +164,7 @@ def candidates(text: str | None) -> list[tuple[int, int, int, bool, int]]:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Accepted (kind, pattern) pairs come from weights of the span classifier; reliability is what the votes taught."""
+    """Weights of the span classifier; reliability of each labeler's votes on true and on false spans."""
 
     weights: np.ndarray | None = None
     reliability: dict[str, tuple[float, float]] = field(default_factory=dict)
@@ -197,10 +197,11 @@ def fit_spans(kinds: np.ndarray, patterns: np.ndarray, counts: np.ndarray, round
         log_odds = np.log(prior / (1 - prior))[kinds]
         rates = []
         for i in range(len(LABELERS)):
-            table = np.array([[(w * counts)[votes[:, i] == v].sum() + 1 for v in (-1, 0, 1)] for w in (1 - posterior, posterior)])
-            table /= table.sum(axis=1, keepdims=True)
-            log_odds = log_odds + np.log(table[1] / table[0])[votes[:, i] + 1]
-            rates.append((float(table[1, 2]), float(table[0, 0])))
+            table = np.array([[(w * counts)[votes[:, i] == v].sum() + 1 for v in (-1, 1)] for w in (1 - posterior, posterior)])
+            table /= table.sum(axis=1, keepdims=True)  # of the votes cast: not to vote says nothing
+            against, for_ = np.log(table[1] / table[0])
+            log_odds = log_odds + np.where(votes[:, i] > 0, for_, np.where(votes[:, i] < 0, against, 0.0))
+            rates.append((float(table[1, 1]), float(table[0, 0])))
         posterior = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
     x, w = _features(kinds, patterns), np.zeros(_features(kinds[:1], patterns[:1]).shape[1])
     for _ in range(30):
