@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from brinewell.llm.chat import chat_report, probe
 from brinewell.llm.decontaminate import find_overlaps
 from brinewell.llm.langid import language_report
 from brinewell.llm.minhash import fingerprint_report
@@ -46,6 +47,10 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(read(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_report(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe(spark)))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_source_mixture": op7_source_mixture,
     "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_token_files": op10_token_files,
 }
 
