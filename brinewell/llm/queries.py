@@ -11,6 +11,7 @@ from brinewell.llm.chat import chat_report, probe
 from brinewell.llm.decontaminate import find_overlaps
 from brinewell.llm.langid import language_report
 from brinewell.llm.minhash import fingerprint_report
+from brinewell.llm.licenses import license_report
 from brinewell.llm.mixture import mixture_report
 from brinewell.llm.pii import pii_report
 from brinewell.llm.quality import quality_scores
@@ -27,6 +28,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(read(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
