@@ -1 +1,63 @@
+"""Column functions: hashes, checksums, encodings, key text."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Seeds of the hash functions of Bloom and Count-Min sketches: this number and those after it, as four bytes.
+BASE_SEED = 0x65920080
+
+# Words that carry no meaning for SimHash.
+STOP_WORDS = (
+    "the", "a", "an", "in", "and", "or", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "this", "that", "these", "those", "there", "here", "where", "what", "when", "while", "which",
+    "who", "how", "if", "yes", "no", "not", "be", "been", "being", "is", "was", "were", "am", "are", "have", "has", "do", "does",
+)
+
+
+def seed_bytes(i: int) -> bytes:
+    return (BASE_SEED + i).to_bytes(4, "big")
+
+
+def u64_hex(data: Column) -> Column:
+    """The first eight bytes of MD5 as 16 hexadecimal digits: an unsigned number of 64 bits, most significant first."""
+    return F.substring(F.md5(data), 1, 16)
+
+
+def u64_bits(digits: Column) -> Column:
+    """The bit pattern of such a number as a long."""
+    return F.conv(digits, 16, -10).cast("bigint")
+
+
+def u64_mod(digits: Column, m: int) -> Column:
+    """Such a number modulo m, unsigned."""
+    return (F.conv(digits, 16, 10).cast("decimal(20,0)") % F.lit(m)).cast("bigint")
+
+
+def seeded_slot(item: Column, i: int, m: int) -> Column:
+    """Slot of an item under the i-th seeded hash function."""
+    return u64_mod(u64_hex(F.concat(F.encode(item, "UTF-8"), F.lit(seed_bytes(i)))), m)
+
+
+def first_set_bit(digits: Column) -> Column:
+    """Trailing zero bits plus one; 65 for zero."""
+    at = F.instr(F.reverse(F.conv(digits, 16, 2)), "1")
+    return F.when(at == 0, 65).otherwise(at).cast("bigint")
+
+
+def entry_crc(key: Column, value: Column) -> Column:
+    return F.crc32(F.encode(F.concat(key, F.coalesce(value, F.lit(""))), "UTF-8"))
+
+
+def varint_length(x: Column) -> Column:
+    """Bytes of an unsigned number at seven bits a byte."""
+    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(x)) / 7)).cast("bigint")
+
+
+def trim_space(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased ASCII words without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1), lambda w: ~F.array_contains(F.array(*map(F.lit, STOP_WORDS)), w))

@@ -1,10 +1,391 @@
-"""Every registered query over the reference tables and its DuckDB SQL."""
+"""Every registered query over the reference tables, with production parameters."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from brinewell.functions import entry_crc, tokens
+from brinewell.operators import control, dictionary, integrity, logs, runs, scans, sketches, versions
+from brinewell.plans.options import bloom_size, count_min_size
+from brinewell.plans.oracle import SQL as SQL
+from brinewell.sources import kv_ops, kv_orders, kv_orders_log, kv_urls, put_status, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Operations in a run and in a segment of the log, keys in a memtable, rows in a Merkle block and in a page.
+RUN_OPS, SEGMENT_OPS, MEMTABLE, BLOCK_ROWS, PAGE = 1000, 400, 500, 16, 100
+THINNING, SHARDS, CACHE = 8, 8, 20
+SEGMENT_BYTES, HEADER = 65_536, 30
+PAYLOAD_LIMIT = 4096
+BLOOM = bloom_size(150, 0.02)
+COUNT_MIN = count_min_size(0.01, 0.01)
+HLL_P = 10
+CAPACITY, INTERVAL_US = 5, 12 * 3600 * 1_000_000
+AS_OF, LOW_USER, HIGH_USER = 5000, "user:000020", "user:000060"
+WANTED = ("user:000001", "user:000007", "user:000042", "user:000149", "user:999999")
+
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# ---- versions
+
+
+@query
+def kv_snapshot(spark, d):
+    return versions.snapshot(kv_ops(spark, d))
+
+
+@query
+def kv_get_point(spark, d):
+    return versions.get(kv_ops(spark, d), ["user:000042"])
+
+
+@query
+def kv_multi_get(spark, d):
+    return versions.get(kv_ops(spark, d), WANTED)
+
+
+@query
+def kv_snapshot_as_of(spark, d):
+    return versions.snapshot_as_of(kv_ops(spark, d), AS_OF)
+
+
+@query
+def kv_version_history(spark, d):
+    return versions.history(kv_ops(spark, d))
+
+
+@query
+def kv_deleted_keys(spark, d):
+    return versions.deleted_keys(kv_ops(spark, d))
+
+
+@query
+def kv_delete_of_missing(spark, d):
+    return versions.deletes_of_missing(kv_ops(spark, d))
+
+
+# ---- scans
+
+
+@query
+def kv_range_scan(spark, d):
+    return scans.range_scan(kv_ops(spark, d), LOW_USER, HIGH_USER)
+
+
+@query
+def kv_prefix_scan(spark, d):
+    return scans.prefix_scan(kv_urls(spark, d), "https://")
+
+
+@query
+def kv_scan_page(spark, d):
+    return scans.page(kv_orders(spark, d).select("key", "value"), 3, PAGE)
+
+
+@query
+def kv_scan_pages_numbered(spark, d):
+    return scans.numbered_pages(kv_orders(spark, d).select("key", "value"), PAGE)
+
+
+@query
+def kv_scan_keyset(spark, d):
+    return scans.next_page(kv_orders(spark, d).select("key", "value"), "order:0000000500", PAGE)
+
+
+# ---- commands
+
+
+@query
+def kv_status_codes(spark, d):
+    op = F.create_map(*[F.lit(x) for x in ("click", "GET", "view", "RANGE", "purchase", "PUT", "signup", "DELETE")])
+    code = F.when(op[F.col("event_type")].isNull(), 4).when(op[F.col("event_type")] == "PUT", put_status(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.col("props"), 24)).otherwise(0)
+    return table(spark, d, "events").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("commands"))
+
+
+@query
+def kv_validate_rejects(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"), F.col("text").alias("value"))
+    return docs.select("key", put_status(F.col("key"), F.col("value"), PAYLOAD_LIMIT).alias("code")).where("code <> 0")
+
+
+@query
+def kv_crc(spark, d):
+    return kv_ops(spark, d).select("key", "value").distinct().select("key", "value", entry_crc(F.col("key"), F.col("value")).alias("crc"))
+
+
+@query
+def kv_crc_quarantine(spark, d):
+    stored = table(spark, d, "events").select("event_id", "event_type", "props").join(kv_ops(spark, d), F.col("event_id") == F.col("seq"))
+    return stored.where(entry_crc(F.col("key"), F.col("props")) != entry_crc(F.col("key"), F.col("value"))).select("seq", "key", entry_crc(F.col("key"), F.col("value")).alias("crc"))
+
+
+# ---- memtables and runs
+
+
+@query
+def mem_generations_distinct(spark, d):
+    filled = runs.generations(kv_orders_log(spark, d), MEMTABLE)
+    return filled.groupBy("gen").agg(F.count("*").alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"))
+
+
+@query
+def mem_generations_greedy(spark, d):
+    return runs.greedy_generations(kv_ops(spark, d), 16, SHARDS)
+
+
+def _ops(spark, d):
+    return runs.with_gen(kv_ops(spark, d), RUN_OPS)
+
+
+def _runs(spark, d):
+    return runs.flushed(_ops(spark, d))
+
+
+def _probes(spark, d):
+    return table(spark, d, "supplier").select(F.concat(F.lit("user:"), F.lpad((F.col("s_suppkey") * 3).cast("string"), 6, "0")).alias("key"))
+
+
+@query
+def sst_runs(spark, d):
+    return _runs(spark, d)
+
+
+@query
+def sst_run_minmax(spark, d):
+    return runs.run_bounds(_runs(spark, d))
+
+
+@query
+def sst_merge_runs(spark, d):
+    return runs.merge(_runs(spark, d)).select("key", "gen", "seq", "value")
+
+
+@query
+def sst_sparse_index(spark, d):
+    return runs.summary(runs.index(_runs(spark, d)), THINNING)
+
+
+@query
+def sst_summary_bracket(spark, d):
+    found = _runs(spark, d)
+    return runs.bracket(runs.summary(runs.index(found), THINNING), runs.run_bounds(found), _probes(spark, d))
+
+
+@query
+def sst_index_offsets(spark, d):
+    return runs.index(_runs(spark, d)).select("gen", "key", "rn", "offset")
+
+
+@query
+def sst_encoded_size(spark, d):
+    return _runs(spark, d).groupBy("gen").agg(F.sum(runs.encoded_size()).alias("bytes"), F.count("*").alias("entries"))
+
+
+@query
+def sst_prune_minmax(spark, d):
+    return runs.prune_by_bounds(runs.run_bounds(_runs(spark, d)), _probes(spark, d))
+
+
+@query
+def sst_prune_bloom(spark, d):
+    return runs.prune_by_bloom(_ops(spark, d), _probes(spark, d), *BLOOM)
+
+
+@query
+def sst_compaction(spark, d):
+    return runs.compact(_runs(spark, d), 0, 4)
+
+
+@query
+def sst_compaction_partial(spark, d):
+    return runs.compact(_runs(spark, d), 3, 6)
+
+
+# ---- dictionary and log
+
+
+@query
+def dict_encode(spark, d):
+    ops = kv_ops(spark, d)
+    return dictionary.encode(ops.select("seq", "key"), dictionary.build(ops))
+
+
+@query
+def dict_decode(spark, d):
+    ids = table(spark, d, "supplier").select((F.col("s_suppkey") * 2).cast("bigint").alias("key_id"))
+    return ids.select("key_id", F.col("key_id").alias("asked")).transform(lambda x: dictionary.decode(x, dictionary.build(kv_ops(spark, d)))).select(F.col("asked").alias("key_id"), "key")
+
+
+def _log(spark, d):
+    return kv_ops(spark, d).select("seq", "key", "value", F.floor(F.col("seq") / SEGMENT_OPS).alias("segment"))
+
+
+def _flushed(spark, d):
+    """All generations but the last two, which are still memtables."""
+    ops = _ops(spark, d).select("seq", "gen")
+    newest = ops.agg(F.max("gen").alias("newest"))
+    return ops.join(F.broadcast(newest)).where("gen < newest - 1").select("seq")
+
+
+@query
+def wal_expired_segments(spark, d):
+    return logs.expired_segments(_log(spark, d), _flushed(spark, d))
+
+
+@query
+def wal_low_watermark(spark, d):
+    return logs.low_watermark(_log(spark, d), _flushed(spark, d))
+
+
+@query
+def wal_segment_pack_nominal(spark, d):
+    return logs.pack(kv_ops(spark, d), F.lit(HEADER) + F.octet_length("key") + F.octet_length("value"), SEGMENT_BYTES)
+
+
+# ---- sketches
+
+
+def _users(spark, d, *more):
+    return table(spark, d, "events").select(*more, F.col("user_id").cast("string").alias("item"))
+
+
+def _asked(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("item"))
+
+
+@query
+def bloom_bits(spark, d):
+    return sketches.bloom_bits(_users(spark, d), *BLOOM)
+
+
+@query
+def bloom_probe(spark, d):
+    return sketches.bloom_probe(sketches.bloom_bits(_users(spark, d), *BLOOM), _asked(spark, d), *BLOOM)
+
+
+@query
+def cms_cells(spark, d):
+    return sketches.count_min_cells(_users(spark, d), *COUNT_MIN)
+
+
+@query
+def cms_estimate(spark, d):
+    return sketches.count_min_estimate(sketches.count_min_cells(_users(spark, d), *COUNT_MIN), _asked(spark, d), *COUNT_MIN)
+
+
+@query
+def cms_vs_exact(spark, d):
+    users = _users(spark, d)
+    exact = users.groupBy("item").agg(F.count("*").alias("exact"))
+    return sketches.count_min_estimate(sketches.count_min_cells(users, *COUNT_MIN), users, *COUNT_MIN).join(exact, "item").select("item", "exact", "estimate", (F.col("estimate") - F.col("exact")).alias("excess"))
+
+
+@query
+def hll_registers(spark, d):
+    return sketches.hll_registers(_users(spark, d), HLL_P)
+
+
+@query
+def hll_estimate(spark, d):
+    return sketches.hll_estimate(sketches.hll_registers(_users(spark, d), HLL_P), HLL_P)
+
+
+@query
+def hll_by_group(spark, d):
+    items = _users(spark, d, "event_type")
+    return sketches.hll_estimate(sketches.hll_registers(items, HLL_P, by=("event_type",)), HLL_P, by=("event_type",))
+
+
+@query
+def approx_distinct_native(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("users"))
+
+
+@query
+def cms_native(spark, d):
+    return table(spark, d, "events").agg(F.length(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.99), F.lit(42))).alias("bytes"))
+
+
+@query
+def doc_tokens_clean(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(tokens(F.col("text"))).cast("bigint").alias("tokens"))
+
+
+@query
+def simhash_docs(spark, d):
+    return sketches.simhash(table(spark, d, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+
+
+@query
+def simhash_near_dups(spark, d):
+    pairs = sketches.near_fingerprints(sketches.simhash(table(spark, d, "documents")), 3)
+    a, b = (F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("a", "b"))
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "bits")
+
+
+# ---- integrity
+
+
+def _leaves(rows):
+    return integrity.leaves(integrity.blocks(rows, "key", ["key", "value"], BLOCK_ROWS))
+
+
+@query
+def merkle_leaves(spark, d):
+    return _leaves(kv_orders(spark, d))
+
+
+@query
+def merkle_root(spark, d):
+    return integrity.root(_leaves(kv_orders(spark, d)))
+
+
+@query
+def merkle_diff(spark, d):
+    """Against a copy in which the most expensive orders have another status."""
+    changed = table(spark, d, "orders").select(F.concat(F.lit("order:"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("key"), F.when(F.col("o_totalprice") > 499_000, "X").otherwise(F.col("o_orderstatus")).alias("value"))
+    return integrity.diff(_leaves(kv_orders(spark, d)), _leaves(changed))
+
+
+# ---- control
+
+
+def _requests(spark, d):
+    """Everything but puts costs a token."""
+    events = table(spark, d, "events").where("event_type <> 'purchase'")
+    return events.select(F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("n"))
+
+
+@query
+def token_bucket_decisions(spark, d):
+    return control.bucket_decisions(_requests(spark, d), CAPACITY, INTERVAL_US)
+
+
+@query
+def token_bucket_summary(spark, d):
+    return control.bucket_summary(control.bucket_decisions(_requests(spark, d), CAPACITY, INTERVAL_US))
+
+
+@query
+def lru_hits(spark, d):
+    return control.lru_hits(kv_ops(spark, d).select("seq", "key"), CACHE)
+
+
+@query
+def lru_hit_rate(spark, d):
+    return control.hit_rate(control.lru_hits(kv_ops(spark, d).select("seq", "key"), CACHE))
+
+
+@query
+def lru_mixed(spark, d):
+    op = F.when(F.col("tombstone"), "DELETE").otherwise("GET")
+    return control.lru_mixed(kv_ops(spark, d).select("seq", "key", op.alias("op")), CACHE // 4, SHARDS)
