@@ -92,4 +92,5 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """The rows of docs, all columns, that overlap with no benchmark item. Ids to drop are broadcast only while few; rows without doc_id that overlap go with every other row without one."""
     bad = stash(find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias("_drop")).distinct(), "decontam-ids")
-    return docs.join(F.broadcast(bad) if at_most(bad, broadcast_rows) else bad, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
+    bad = F.broadcast(bad) if at_most(bad, broadcast_rows) else bad
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_drop"]), "left_anti")

@@ -4,8 +4,8 @@ Documents are aggregated by the set of sources they belong to. A flow network ro
 quotas of the sources: every pattern may send its words once at cost 1, again at cost 2 and a third time at cost 4,
 so repetition is convex in price and spread out before it is piled up; a word that a quota can't get costs more than
 any route. Within a pattern, documents are ordered by a seeded hash: whole repetitions go to all of them, the rest of
-the flow to documents below a hash threshold, found from a histogram, and the documents around the threshold are
-filled greedily from large to small.
+the flow to documents below a hash threshold, found from a histogram. Of the documents around the threshold, large
+ones are taken while they fit, and of the 64 smallest the subset that comes nearest to what is left.
 
 Defined cases: a null text has size 0; a document of size 0 is never taken; the null source is a source and sorts
 last; repeated rows are separate documents and draw the same hash; an empty table gives no rows. Only doc_id, text
@@ -96,16 +96,35 @@ def min_cost_flow(patterns: Sequence[tuple[frozenset[int], int]], quotas: Sequen
     return [{e[0] - n: graph[e[0]][e[3]][1] for e in graph[p] if n <= e[0] < n + m and graph[e[0]][e[3]][1]} for p in range(n)]
 
 
-def _fill(limits: dict[int, int]):
-    """Takes documents of a pattern's boundary cell while they fit, large ones first."""
+def nearest_subset(sizes: Sequence[int], goal: int, resolution: int = 1 << 20) -> list[bool]:
+    """Which sizes to take so that their sum comes nearest to goal: reachable sums as the bits of a number, one for each prefix."""
+    unit = max(1, goal // resolution)
+    steps = [round(s / unit) for s in sizes]
+    aim = round(goal / unit)
+    mask, reach = (1 << (2 * aim + 1)) - 1, [1]
+    for s in steps:
+        reach.append((reach[-1] | reach[-1] << s) & mask)
+    last = reach[-1]
+    below = (last & ((1 << (aim + 1)) - 1)).bit_length() - 1
+    above = (last >> (aim + 1)) & -(last >> (aim + 1))
+    at = aim + above.bit_length() if above and above.bit_length() < aim - below else below
+    taken = []
+    for s, before in zip(reversed(steps), reversed(reach[:-1]), strict=True):
+        taken.append(not before >> at & 1)
+        at -= s * taken[-1]
+    return taken[::-1]
+
+
+def _fill(limits: dict[int, int], exact: int = 64):
+    """Takes documents of a pattern's boundary cell while they fit, large ones first, and of the smallest ones the best subset."""
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "position", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        left, extra = limits[int(key[0])], []
-        for size in pdf["size"]:
+        left, extra, sizes = limits[int(key[0])], [], pdf["size"].tolist()
+        for size in sizes[:-exact]:
             extra.append(int(size <= left))
             left -= size * extra[-1]
-        return pdf.assign(extra=extra)
+        return pdf.assign(extra=extra + [int(t) for t in nearest_subset(sizes[-exact:], left)])
 
     return fill
 
@@ -186,11 +205,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 7, cell
 
 def take_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 7, cell_docs: int = 2000, max_cells: int = 1 << 16, max_patterns: int = 10_000) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Texts are not shuffled."""
-    keyed = _keyed(docs, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # whatever its columns are called
+    keyed = _keyed(docs.select(row, "doc_id", "text", "source", *(["members"] if "members" in docs.columns else [])), seed)
     base = stash(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_size", "_members", "_position", "_pattern"), "mix-sizes")
     plan, near, _ = _planned(base, weights, cell_docs, max_cells, max_patterns)
     placed = _with_repeats(_placed(keyed, plan), near).where("_repeats > 0")
-    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select("_row.*")
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:
