@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.llm.shared import HELD_OUT, fold
+from brinewell.llm.shared import HELD_OUT, fold, texts
 
 EXCERPTS, EXCERPT = 96, 448
 MAX_LANGUAGES = 200
@@ -186,7 +186,7 @@ def predict_languages(docs: DataFrame, sample: dict[str, str]) -> DataFrame:
             langs, scores = parser.predict(b.column("text").to_pylist())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, lang_pred string, score double")
+    return texts(docs).mapInArrow(batches, "doc_id long, lang_pred string, score double")
 
 
 def language_report(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.llm.license_rules import FAMILIES, PHRASES
+from brinewell.llm.shared import texts
 
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 _SEP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
@@ -133,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "base": pa.array(bases, base_kind), "detections": pa.array(found, kind)})
 
     schema = "doc_id long, n_words long, base array<struct<label:string,word:bigint>>, detections array<struct<kind:string,label:string,first_byte:bigint,end_byte:bigint,score:double>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, schema)
+    return texts(docs).mapInArrow(batches, schema)
 
 
 def license_report(docs: DataFrame) -> DataFrame:

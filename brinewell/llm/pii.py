@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.llm.shared import stash
+from brinewell.llm.shared import stash, texts
 
 KINDS = ("email", "ip", "card", "phone", "iban", "national_id", "person")
 BASE_KINDS = KINDS[:4]
@@ -224,7 +224,7 @@ def candidate_table(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(names, c, strict=True)) for c in candidates(x.as_py())] for x in b.column("text")]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "found": pa.array(rows, kind)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, f"doc_id long, found array<{_SPAN}>")
+    return texts(docs).mapInArrow(batches, f"doc_id long, found array<{_SPAN}>")
 
 
 def train_spans(table: DataFrame) -> SpanModel:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.llm.shared import FOLDS, HELD_OUT, fold, stash
+from brinewell.llm.shared import FOLDS, HELD_OUT, bound_batches, fold, stash, texts
 
 STATS = (
     "log_chars", "log_words", "word_len", "upper", "digit", "symbol", "stop", "space", "line_breaks", "non_ascii",
@@ -99,7 +99,7 @@ def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the vector of statistics of every whole text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stats_batches, "doc_id long, stats array<double>")
+    return texts(docs).mapInArrow(_stats_batches, "doc_id long, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -218,6 +218,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit)
             x = np.array([statistics(t.as_py()) for t in b.column("text")]).reshape(-1, len(STATS))
             yield b.filter(pa.array(model.score(x) >= threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(good, docs.schema)
 
 

@@ -46,6 +46,19 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of the batches that Python workers get, unless the session names its own bound: rows may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as string, for a Python worker."""
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id."""
+    """One document of each group stays, the one with the smallest doc_id: SimHash links, five words, a similarity of 0.8."""
     return keep_one_of_each(docs)
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
-from test_llm import brute_overlaps
+from test_llm import brute_overlaps, shingles
 
 import corpus_pipeline
-from brinewell.llm import quality, simhash
+from brinewell.llm import quality
 from brinewell.llm.shared import stash
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,10 +25,13 @@ def test_stages(spark):
     scores = {r.doc_id: r.score for r in quality.quality_scores(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()}
     assert set(ids[1]) == {k for k, s in scores.items() if s >= 0.3}
 
-    groups = {r.doc_id: r.component_id for r in simhash.simhash_components(kept[1], 5).collect()}
-    assert set(ids[2]) == set(groups.values()) and max(ids[2].values()) == 1
-    texts = [r["text"] for r in rows[2]]
-    assert len(set(texts)) == len(texts)
+    stayed = {r["doc_id"]: r["text"] for r in rows[2]}
+    gone = {r["doc_id"]: r["text"] for r in rows[1] if r["doc_id"] not in stayed}
+    before = {r["doc_id"]: shingles(r["text"]) for r in rows[1]}
+    pairs = [(a, b) for a in before for b in before if b < a and len(before[a] & before[b]) >= 0.8 * len(before[a] | before[b])]
+    near = Counter(a for a, _ in pairs)
+    assert gone and set(gone) <= set(near) and len(gone) >= 0.9 * len(near)
+    assert max(ids[2].values()) == 1 and len(set(stayed.values())) == len(stayed)
 
     benchmark = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     bad = {k for k, _ in brute_overlaps({r["doc_id"]: r["text"] for r in rows[2] if any(b[:30] in r["text"] for b in benchmark.values())}, benchmark)}
