@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinewell import streaming
 from brinewell.functions import entry_crc, tokens
 from brinewell.operators import control, dictionary, integrity, logs, runs, scans, sketches, versions
 from brinewell.plans.options import bloom_size, count_min_size
 from brinewell.plans.oracle import SQL as SQL
-from brinewell.sources import kv_ops, kv_orders, kv_orders_log, kv_urls, put_status, table
+from brinewell.sources import as_ops, as_requests, kv_ops, kv_orders, kv_orders_log, kv_urls, put_status, store, stream_of, table
+from brinewell.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -360,9 +362,7 @@ def merkle_diff(spark, d):
 
 
 def _requests(spark, d):
-    """Everything but puts costs a token."""
-    events = table(spark, d, "events").where("event_type <> 'purchase'")
-    return events.select(F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("n"))
+    return as_requests(table(spark, d, "events"))
 
 
 @query
@@ -389,3 +389,33 @@ def lru_hit_rate(spark, d):
 def lru_mixed(spark, d):
     op = F.when(F.col("tombstone"), "DELETE").otherwise("GET")
     return control.lru_mixed(kv_ops(spark, d).select("seq", "key", op.alias("op")), CACHE // 4, SHARDS)
+
+
+# ---- streams: every micro-batch that is there is processed, then the result is read
+
+
+@query
+def stream_kv_snapshot(spark, d):
+    """The log as a stream, a run flushed for each micro-batch, and the runs merged."""
+    at = scratch_path(spark, "stream-snapshot")
+    streaming.flush_stream(as_ops(stream_of(spark, d, "events")), f"{at}/runs", f"{at}/checkpoint").awaitTermination()
+    return runs.merge(store.runs(spark, f"{at}/runs")).select("key", "value", "seq")
+
+
+@query
+def stream_token_bucket(spark, d):
+    """Requests as a stream through buckets kept as state."""
+    at = scratch_path(spark, "stream-limit")
+    limited = streaming.limit_stream(as_requests(stream_of(spark, d, "events")), CAPACITY, INTERVAL_US)
+    limited.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, seq long, allowed boolean").parquet(f"{at}/out")
+
+
+@query
+def stream_windowed_counts(spark, d):
+    """Operations a day by event time; the last windows, still open at the watermark, are counted too."""
+    at = scratch_path(spark, "stream-counts")
+    counts = streaming.windowed_counts(as_ops(stream_of(spark, d, "events")), "1 day", "1 hour").select(F.unix_micros("start").alias("day_us"), "ops", "deletes")
+    name = f"counts_{at[-12:]}"
+    counts.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{at}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

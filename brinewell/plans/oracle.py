@@ -200,3 +200,8 @@ SQL: dict[str, str] = {
     "lru_hits": _with(_KV, _LRU, "SELECT seq, key, hit FROM hits"),
     "lru_hit_rate": _with(_KV, _LRU, "SELECT count(*) AS gets, sum(hit::BIGINT)::BIGINT AS hits, round(avg(hit::INTEGER), 6) AS hit_rate FROM hits"),
 }
+SQL |= {
+    "stream_kv_snapshot": SQL["kv_snapshot"],
+    "stream_token_bucket": SQL["token_bucket_decisions"],
+    "stream_windowed_counts": "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day_us, count(*) AS ops, sum((event_type = 'error')::BIGINT)::BIGINT AS deletes FROM events GROUP BY 1",
+}

@@ -17,14 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kv_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as an operation log: a key for each user, error events are deletes."""
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, a file or a folder, as a stream of its files. A pattern is taken as it is; a plain path would have to be a folder."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def as_ops(events: DataFrame) -> DataFrame:
+    """events, batch or stream, as an operation log: a key for each user, error events are deletes."""
     dead = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), "ts", F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.when(dead, "").otherwise(F.col("props")).alias("value"), dead.alias("tombstone"),
     )
 
 
+def as_requests(events: DataFrame) -> DataFrame:
+    """Requests that cost a token: everything but puts (purchases)."""
+    return events.where("event_type <> 'purchase'").select(
+        F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("n")
+    )
+
+
+def kv_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_ops(table(spark, sf_dir, "events"))
+
+
 def kv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders as a key space that is only inserted into; without seq."""
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("key"), F.col("o_orderstatus").alias("value"), F.lit(False).alias("tombstone"))
