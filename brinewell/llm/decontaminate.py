@@ -63,9 +63,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     items = benchmark.select(F.col("item_id").alias("item_id"), _tokens("text").alias("item")).groupBy("item").agg(F.min("item_id").alias("item_id")).select("item_id", "item", F.size("item").alias("m"))
     planted = _spread(_places(items.select("item_id", F.col("item").alias("words"), F.col("m").alias("n"))), "item_id").select("item_id", F.col("i").alias("p"), "k", "seed")
     planted = stash(planted, "decontam-seeds")
-    blocks = 1
-    while not at_most(planted, blocks * block_seeds):
-        blocks += 1
+    blocks = max(1, -(-planted.count() // block_seeds))
 
     words = docs.select("doc_id", _tokens("text").alias("words")).select("doc_id", "words", F.size("words").alias("n"))
     seeds = _spread(_places(words), "doc_id", "words", "n")

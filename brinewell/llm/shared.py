@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brinewell.sources.scratch import scratch_path, shared_folder
+
+__all__ = ["FOLDS", "HELD_OUT", "at_most", "bound_batches", "fold", "read", "scratch_path", "shared_folder", "stash", "texts"]
+
 #: Rows whose crc32(doc_id as text) has this remainder by FOLDS are held out of training.
 HELD_OUT, FOLDS = 0, 5
 
@@ -22,23 +23,6 @@ def fold(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as on a single machine, one of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="brinewell-"))
-    return sc.getCheckpointDir()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared checkpoint folder; it is deleted when the application ends."""
-    sc, base = spark.sparkContext, shared_folder(spark)
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back: computed once, and safe from lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
