@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.llm.shared import FOLDS, HELD_OUT, bound_batches, fold, stash, texts
+from brinewell.llm.shared import FOLDS, HELD_OUT, bound_batches, fold, release_memory, stash, texts
 
 STATS = (
     "log_chars", "log_words", "word_len", "upper", "digit", "symbol", "stop", "space", "line_breaks", "non_ascii",
@@ -95,6 +95,7 @@ def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         rows = [statistics(x.as_py()) for x in batch.column("text")]
         yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "stats": pa.array(rows, pa.list_(pa.float64()))})
+    release_memory()
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
@@ -217,6 +218,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit)
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column("text")]).reshape(-1, len(STATS))
             yield b.filter(pa.array(model.score(x) >= threshold))
+        release_memory()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(good, docs.schema)

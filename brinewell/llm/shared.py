@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.sources.scratch import scratch_path, shared_folder
 
-__all__ = ["FOLDS", "HELD_OUT", "at_most", "bound_batches", "fold", "read", "scratch_path", "shared_folder", "stash", "texts"]
+__all__ = ["FOLDS", "HELD_OUT", "at_most", "bound_batches", "fold", "read", "release_memory", "scratch_path", "shared_folder", "stash", "texts"]
 
 #: Rows whose crc32(doc_id as text) has this remainder by FOLDS are held out of training.
 HELD_OUT, FOLDS = 0, 5
@@ -37,6 +41,16 @@ def bound_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def release_memory() -> None:
+    """Hands memory that a Python worker no longer needs back to the system: idle workers stay beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string, for a Python worker."""
     bound_batches(docs.sparkSession)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brinewell.llm.shared import scratch_path
+from brinewell.llm.shared import release_memory, scratch_path, texts
 
 END_ID = 2
 SEQ_LEN = 2048
@@ -38,7 +38,7 @@ _LETTERS = "a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭį
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\\s{_LETTERS}0-9²³¹¼-¾]+")
 #: Anything else may be normalised, split or lower-cased in ways that depend on its neighbours.
 _NOT_PLAIN = r"[^\t\n\r -~¡-įı-ž]|<\|"
-_SLICE_BYTES, _CACHE = 16 << 20, 400_000
+_SLICE_BYTES, _CACHE = 4 << 20, 150_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -48,8 +48,26 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Cache:
+    """The entries used lately: between limit and twice that many."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
 class Encoder:
-    """Encodes arrays of texts; one for each worker process, so that pieces seen before stay known."""
+    """Encodes arrays of texts; one for each worker process. Pieces seen before stay known until a task ends."""
 
     _known: dict[str, Encoder] = {}
 
@@ -58,7 +76,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.model, self.words, self.pieces = self.tokenizer.model, {}, {}
+        self.model, self.seen = self.tokenizer.model, _Cache(_CACHE)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
 
@@ -69,37 +87,30 @@ class Encoder:
             cls._known[key] = cls(tokenizer_json)
         return cls._known[key]
 
-    def piece(self, piece: str) -> np.ndarray:
-        """Ids of a piece without white space."""
-        ids: list[int] = []
-        for word in _PRETOKEN.findall(piece.lower()):
-            got = self.words.get(word)
-            if got is None:
-                if len(self.words) >= _CACHE:
-                    self.words.clear()
-                got = self.words[word] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))]
-            ids += got
-        return np.array(ids, self.dtype)
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece without white space. Pieces and the words in them share a cache."""
+        got = self.seen.get(piece)
+        if got is None:
+            words = _PRETOKEN.findall(piece.lower())
+            if words == [piece]:
+                got = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))], self.dtype).tobytes()
+            else:
+                got = b"".join([self.piece(w) for w in words])
+            self.seen.put(piece, got)
+        return got
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         bounds = split.offsets.to_numpy().astype(np.int64)
         pieces = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        where, pool, lens = pieces.indices.to_numpy(), [], []
-        for p in pieces.dictionary.to_pylist():
-            got = self.pieces.get(p)
-            if got is None:
-                if len(self.pieces) >= _CACHE:
-                    self.pieces.clear()
-                got = self.pieces[p] = self.piece(p)
-            pool.append(got)
-            lens.append(len(got))
-        lens = np.array(lens, np.int64)
-        begins = np.cumsum(lens) - lens
-        each = lens[where] if len(where) else np.zeros(0, np.int64)
-        ends = np.cumsum(each)
-        ids = np.concatenate(pool)[np.arange(ends[-1]) + np.repeat(begins[where] - (ends - each), each)] if len(each) and ends[-1] else np.zeros(0, self.dtype)
-        return ids, np.diff(np.r_[0, ends][bounds - bounds[0]])
+        where, pool = pieces.indices.to_numpy(), [self.piece(p) for p in pieces.dictionary.to_pylist()]
+        lens = np.fromiter(map(len, pool), np.int32, len(pool)) // self.dtype.itemsize
+        begins = np.cumsum(lens, dtype=np.int32) - lens
+        each = lens[where]
+        ends = np.cumsum(each, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = np.frombuffer(b"".join(pool), self.dtype)[np.arange(total, dtype=np.int32) + np.repeat(begins[where] - (ends - each), each)] if total else np.zeros(0, self.dtype)
+        return ids, np.diff(np.r_[0, ends].astype(np.int64)[bounds - bounds[0]])
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For slices of texts in order: all ids, and how many each text has."""
@@ -144,8 +155,10 @@ def encoded(docs: DataFrame, tokenizer_json: str, bounds: list[int], end_id: int
                 offsets = np.r_[0, ends] * encoder.dtype.itemsize
                 data = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
                 yield pa.record_batch({"part": pa.array(parts), "doc_id": mine, "n_tokens": pa.array(counts + 1), "ids": data})
+        encoder.seen = _Cache(_CACHE)
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "part int, doc_id long, n_tokens long, ids binary")
+    return texts(docs).mapInArrow(batches, "part int, doc_id long, n_tokens long, ids binary")
 
 
 def _filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
