@@ -151,5 +151,5 @@ non-commercial | non-commercial use only | (?:for )?non-commercial use only | 0.
 non-commercial | noncommercial purposes | for noncommercial purposes (?:only)? | 0.5
 research-only | research purposes only | for research purposes only | 0.6
 dual | dual licensed | dual licensed under | 0.5
-copyright-notice | copyright | copyright (?:\(c\)|©)? ?(?:19|20)[0-9]{2} | 0.3
+copyright-notice | copyright | copyright (?:c |© ?)?(?:19|20)[0-9]{2} | 0.3
 """

@@ -5,11 +5,13 @@ keyword occurs. Rules have a priority by kind; of overlapping detections, those
 come first, and a detection inside an accepted one is suppressed. Base phrases are rules too, but are never suppressed.
 
 Texts are scanned as UTF-8 bytes with A-Z in lower case, so places don't move. Words are runs of a-z, 0-9 and bytes
-outside ASCII.
+outside ASCII. Any run of other bytes may stand between the words of a rule, however long.
+
+Scanning takes n log n of a text's length: a rule of words is tried only at words that begin like one of its matches,
+runs between words are matched without going back, and suppression is one sweep over detections by start.
 
 Defined cases: a null or empty text has no words and no detections, score 0 and null words; ties are broken by start,
-then label; repeated documents get equal results; only doc_id and text are read. Texts are never cut; patterns are
-bounded in length, so they run in linear time.
+then label; repeated documents get equal results; only doc_id and text are read. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,10 @@ SHORT = (("cc", (b"commons", b"cc-by", b"cc by", b"cc0")), ("gpl", (b"gpl", b"pu
 _SCORE = {"tag": 1.0, "address": 0.9, "name": 0.85}
 
 
+#: Bytes by which a word is matched with the beginnings of rules.
+_HEAD = 3
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -45,15 +52,29 @@ class Rule:
     keywords: tuple[bytes, ...]
     pattern: re.Pattern[bytes]
     score: float
+    #: Beginnings that a match may have, of _HEAD bytes; none for rules that may begin within a word.
+    heads: frozenset[bytes] = frozenset()
 
 
 def _compiled(pattern: str, whole_words: bool = True) -> re.Pattern[bytes]:
     body = pattern.encode()
-    for mark, times in ((b"[- ]?", b"{0,8}"), (b"[ -]?", b"{0,8}"), (b"[- ]", b"{1,8}"), (b" ?", b"{0,8}"), (b" ", b"{1,8}")):
+    for mark, times in ((b"[- ]?", b"*+"), (b"[ -]?", b"*+"), (b"[- ]", b"++"), (b" ?", b"*+"), (b" ", b"++")):
         body = body.replace(mark, _SEP + times)
     return re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + body + rb")(?![0-9a-z\x80-\xff])" if whole_words else body, re.S)
 
 
+def _heads(pattern: re.Pattern[bytes]) -> frozenset[bytes]:
+    """All beginnings of _HEAD bytes that a match may have, by partial matching; a separator stands for all of them."""
+    body = regex.compile(pattern.pattern, regex.S)
+    grown = {b""}
+    for _ in range(_HEAD):
+        grown = {h + bytes([c]) for h in grown for c in _ALPHABET if body.match(h + bytes([c]), partial=True)}
+    return frozenset(grown)
+
+
+_ALPHABET = [*b"abcdefghijklmnopqrstuvwxyz0123456789 ", *range(0x80, 0x100)]
+
+
 def _literal(pattern: str) -> bytes:
     """The longest run of a pattern, within a word, that every match must contain."""
     flat = re.sub(r"\\.", lambda m: m[0][1] if m[0][1] in "./+" else "\n", pattern)
@@ -74,14 +95,14 @@ def rules() -> tuple[Rule, ...]:
     out = []
     for line in FAMILIES.strip().splitlines():
         label, name, tag, address = line.split(" | ")
-        out.append(Rule("name", label, next((k for start, k in SHORT if label.startswith(start)), (_literal(name),)), _compiled(name), _SCORE["name"]))
+        out.append(Rule("name", label, next((k for start, k in SHORT if label.startswith(start)), (_literal(name),)), p := _compiled(name), _SCORE["name"], _heads(p)))
         if tag != "-":
-            out.append(Rule("tag", label, (b"spdx",), _compiled(rf"spdx-license-identifier:\s{{0,4}}\(?(?:{tag})(?![\w.+-])", False), _SCORE["tag"]))
+            out.append(Rule("tag", label, (b"spdx",), _compiled(rf"spdx-license-identifier:\s*+\(?(?:{tag})(?![\w.+-])", False), _SCORE["tag"]))
         if address.strip() != "-":
             out.append(Rule("address", label, (_literal(address.strip()),), _compiled(address.strip(), False), _SCORE["address"]))
     for line in PHRASES.strip().splitlines():
         label, keyword, pattern, score = line.split(" | ")
-        out.append(Rule("phrase", label, (max(keyword.split(), key=len).encode(),), _compiled(pattern), float(score)))
+        out.append(Rule("phrase", label, (max(keyword.split(), key=len).encode(),), p := _compiled(pattern), float(score), _heads(p)))
     return tuple(sorted(out, key=lambda r: PRIORITY[r.kind]))
 
 
@@ -98,20 +119,54 @@ def _prepared():
 Detection = tuple[str, str, int, int, float]
 
 
-def detect(raw: bytes) -> tuple[list[tuple[str, int, int]], list[Detection]]:
+def _word_starts(raw: bytes) -> np.ndarray:
+    """Places of the first bytes of words."""
+    word = _WORD[np.frombuffer(raw, np.uint8)]
+    return np.flatnonzero(word & ~np.r_[False, word[:-1]]) if len(raw) else np.zeros(0, np.int64)
+
+
+def _word_matches(raw: bytes, starts: np.ndarray, those: list[Rule]) -> Iterator[Detection]:
+    """Leftmost matches, without overlaps of one rule, of rules that begin with a word."""
+    by: dict[int, list[int]] = {}
+    for i, r in enumerate(those):
+        for h in r.heads:
+            by.setdefault(int.from_bytes(h, "big"), []).append(i)
+    data = np.frombuffer(raw + b" " * _HEAD, np.uint8)
+    flat = np.where(_WORD[data], data, 0x20).astype(np.int32)
+    codes = (flat[starts] << 16) | (flat[starts + 1] << 8) | flat[starts + 2]
+    known = np.array(sorted(by), np.int32)
+    near = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    free = [0] * len(those)
+    hit = known[near] == codes
+    for at, code in zip(starts[hit].tolist(), codes[hit].tolist(), strict=True):
+        for i in by[code]:
+            if at >= free[i] and (m := those[i].pattern.match(raw, at)):
+                r, free[i] = those[i], m.end()
+                yield r.kind, r.label, at, m.end(), r.score
+
+
+def _outermost(found: list[Detection]) -> list[Detection]:
+    """Detections that lie in none of higher priority, nor in a longer one of their own kind; of equal ones the first label."""
+    out, reach = [], [-1] * len(PRIORITY)  # the farthest end so far, by kind
+    for d in sorted(found, key=lambda d: (d[2], -d[3], PRIORITY[d[0]], d[1])):
+        k = PRIORITY[d[0]]
+        if max(reach[: k + 1]) < d[3]:
+            out.append(d)
+        reach[k] = max(reach[k], d[3])
+    return sorted(out, key=lambda d: (d[2], d[1]))
+
+
+def detect(raw: bytes, starts: np.ndarray | None = None) -> tuple[list[tuple[str, int, int]], list[Detection]]:
     """Base places (label, start, end) and accepted detections (kind, label, start, end, score) of a text's lower-cased bytes."""
     base, gated, stems = _prepared()  # every keyword contains a stem
     if not any(s in raw for s in stems):
         return [], []
     places = [(label, *m.span()) for label, first, p in base if first in raw and b"license" in raw for m in p.finditer(raw)]
-    found = [(r.kind, r.label, *m.span(), r.score) for keywords, those in gated if any(k in raw for k in keywords) for r in those for m in r.pattern.finditer(raw)]
-    accepted: list[Detection] = []
-    spans: list[tuple[int, int]] = []
-    for d in sorted(found, key=lambda d: (PRIORITY[d[0]], d[2] - d[3], d[2], d[1])):
-        if not any(a <= d[2] and d[3] <= z for a, z in spans):
-            accepted.append(d)
-            spans.append((d[2], d[3]))
-    return sorted(places, key=lambda x: x[1:]), sorted(accepted, key=lambda d: (d[2], d[1]))
+    those = [r for keywords, some in gated if any(k in raw for k in keywords) for r in some]
+    found = [(r.kind, r.label, *m.span(), r.score) for r in those if not r.heads for m in r.pattern.finditer(raw)]
+    if of_words := [r for r in those if r.heads]:
+        found += _word_matches(raw, _word_starts(raw) if starts is None else starts, of_words)
+    return sorted(places, key=lambda x: x[1:]), _outermost(found)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -125,11 +180,11 @@ def scan(docs: DataFrame) -> DataFrame:
             counts, bases, found = [], [], []
             for x in b.column("text"):
                 raw = (x.as_py() or "").encode("utf-8", "surrogatepass").lower()
-                word = _WORD[np.frombuffer(raw, np.uint8)]
-                starts = word & ~np.r_[False, word[:-1]] if len(raw) else word
-                places, detections = detect(raw)
-                counts.append(int(np.count_nonzero(starts)))
-                bases.append([{"label": label, "word": int(np.count_nonzero(starts[:a]))} for label, a, _ in places])
+                starts = _word_starts(raw)
+                places, detections = detect(raw, starts)
+                counts.append(len(starts))
+                words = np.searchsorted(starts, [a for _, a, _ in places]).tolist()
+                bases.append([{"label": label, "word": w} for (label, _, _), w in zip(places, words, strict=True)])
                 found.append([dict(zip(names, d, strict=True)) for d in detections])
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(counts, pa.int64()), "base": pa.array(bases, base_kind), "detections": pa.array(found, kind)})
 
