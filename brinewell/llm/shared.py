@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from brinewell.sources.scratch import scratch_path, shared_folder
 
-__all__ = ["FOLDS", "HELD_OUT", "at_most", "bound_batches", "fold", "read", "release_memory", "scratch_path", "shared_folder", "stash", "texts"]
+__all__ = ["FOLDS", "HELD_OUT", "Scratch", "at_most", "bound_batches", "fold", "read", "release_memory", "row_key", "scratch_path", "shared_folder", "stash", "texts"]
 
 #: Rows whose crc32(doc_id as text) has this remainder by FOLDS are held out of training.
 HELD_OUT, FOLDS = 0, 5
+SEED_LOW = 1
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,37 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stashed tables that go when the block ends; whatever outlives it must be stashed outside."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop_all_but(0)
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop_all_but(self, newest: int) -> None:
+        gone, self.paths = self.paths[: len(self.paths) - newest], self.paths[len(self.paths) - newest :]
+        for path in gone:
+            hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def row_key(text: Column | str = "text") -> list[Column]:
+    """128 bits of a text, as two longs: with doc_id, null or repeated as it may be, they name a row; only rows equal in both share a name."""
+    text = F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("key_hi"), F.xxhash64(F.lit(SEED_LOW), text).alias("key_lo")]
+
+
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bounds the bytes of the batches that Python workers get, unless the session names its own bound: rows may be long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
