@@ -102,7 +102,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return found.select("doc_id", "item_id", "first_word", "similarity", "hits")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """The rows of docs, all columns, that overlap with no benchmark item. What is to go is broadcast only while it is little."""
     with Scratch(docs.sparkSession) as keep:
         bad = stash(_overlaps(docs, benchmark, keep, **options).select("doc_id", "key_hi", "key_lo").distinct(), "decontam-rows")
