@@ -61,12 +61,12 @@ class LruCache:
     def __init__(self, capacity: int, keys: list[str] | None = None) -> None:
         self.capacity, self.keys = capacity, OrderedDict.fromkeys(keys or [])
 
-    def get(self, key: str) -> bool:
-        """Whether the key was there; it is the most recent afterwards."""
+    def get(self, key: str, held: bool = True) -> bool:
+        """Whether the key was there; it is the most recent afterwards, if it was there or the store holds it."""
         hit = key in self.keys
         if hit:
             self.keys.move_to_end(key)
-        else:
+        elif held:
             if len(self.keys) >= self.capacity:
                 self.keys.popitem(last=False)
             self.keys[key] = None
@@ -113,22 +113,28 @@ def lru_hits(gets: DataFrame, capacity: int, chunks: int = 64) -> DataFrame:
 
 
 def lru_mixed(ops: DataFrame, capacity: int, shards: int) -> DataFrame:
-    """shard, seq, hit of the gets among ops(seq, key, op): a cache for each shard of the keys; puts and deletes refresh keys that are present."""
+    """shard, seq, hit of the gets among ops(seq, key, op): a cache for each shard of the keys.
+
+    Only a get of a key that the store holds at that time, put and not deleted since, fills the cache; puts and deletes
+    refresh keys that are present. Gets of absent keys miss and fill nothing.
+    """
 
     def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, cache = None, None
         for pdf in parts:
             rows = []
-            for shard, seq, key, op in zip(pdf["shard"], pdf["seq"], pdf["key"], pdf["op"], strict=True):
+            for shard, seq, key, op, held in zip(pdf["shard"], pdf["seq"], pdf["key"], pdf["op"], pdf["held"], strict=True):
                 if shard != now:
                     now, cache = shard, LruCache(capacity)
                 if op == "GET":
-                    rows.append((shard, seq, cache.get(key)))
+                    rows.append((shard, seq, cache.get(key, held)))
                 else:
                     cache.refresh_if_present(key)
             yield pd.DataFrame(rows, columns=["shard", "seq", "hit"]).astype({"shard": "int64", "seq": "int64", "hit": "bool"})
 
-    dealt = ops.select(F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(shards)).cast("bigint").alias("shard"), "seq", "key", "op")
+    before = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.last(F.when(F.col("op") != "GET", F.col("op") == "PUT"), ignorenulls=True).over(before), F.lit(False))
+    dealt = ops.select(F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(shards)).cast("bigint").alias("shard"), "seq", "key", "op", held.alias("held"))
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seq").mapInPandas(replay, "shard long, seq long, hit boolean")
 
 

@@ -16,8 +16,8 @@ def _slots(item: Column, m: int, k: int) -> Column:
 
 
 def bloom_bits(items: DataFrame, m: int, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Set bits (by, bit) of a filter over items(by, item). Items are made distinct before they are hashed."""
-    return items.select(*by, "item").distinct().select(*by, F.explode(_slots(F.col("item"), m, k)).alias("bit")).distinct()
+    """Set bits (by, bit) of a filter over items(by, item). Items are hashed where they lie: a task sends m bits of a filter at most."""
+    return items.select(*by, F.explode(_slots(F.col("item"), m, k)).alias("bit")).distinct()
 
 
 def bloom_probe(bits: DataFrame, probes: DataFrame, m: int, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -30,10 +30,9 @@ def bloom_probe(bits: DataFrame, probes: DataFrame, m: int, k: int, by: Sequence
 
 
 def count_min_cells(items: DataFrame, width: int, depth: int) -> DataFrame:
-    """Cells (row, col, count); equal items are counted first and hashed once."""
-    counted = items.groupBy("item").agg(F.count("*").alias("n"))
-    cells = counted.select("n", F.posexplode(_slots(F.col("item"), width, depth)).alias("row", "col"))
-    return cells.groupBy(F.col("row").cast("bigint").alias("row"), "col").agg(F.sum("n").alias("count"))
+    """Cells (row, col, count). Items are hashed where they lie: a task sends width times depth cells at most."""
+    cells = items.select(F.posexplode(_slots(F.col("item"), width, depth)).alias("row", "col"))
+    return cells.groupBy(F.col("row").cast("bigint").alias("row"), "col").agg(F.count("*").alias("count"))
 
 
 def count_min_estimate(cells: DataFrame, probes: DataFrame, width: int, depth: int) -> DataFrame:
@@ -46,7 +45,7 @@ def hll_registers(items: DataFrame, p: int, by: Sequence[str] = ()) -> DataFrame
     """Registers (by, bucket, rank) of items(by, item) that are not empty."""
     p = min(16, max(4, p))
     h = u64_hex(F.encode("item", "UTF-8"))
-    hashed = items.select(*by, "item").distinct().select(*by, F.shiftrightunsigned(u64_bits(h), 64 - p).alias("bucket"), first_set_bit(h).alias("rank"))
+    hashed = items.select(*by, F.shiftrightunsigned(u64_bits(h), 64 - p).alias("bucket"), first_set_bit(h).alias("rank"))
     return hashed.groupBy(*by, "bucket").agg(F.max("rank").alias("rank"))
 
 
@@ -66,21 +65,18 @@ def hll_estimate(registers: DataFrame, p: int, by: Sequence[str] = ()) -> DataFr
     return sums.select(*by, "registers", F.round(fixed, 6).alias("estimate"))
 
 
-def clean_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, token, n: words without stop words, counted."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+def simhash(docs: DataFrame) -> DataFrame:
+    """doc_id, fp: 64 bits as a long. A document's tokens are hashed and added up in its own row: nothing is shuffled."""
 
+    def number(token: Column) -> Column:
+        h = F.md5(F.encode(token, "UTF-8"))
+        # Bit j of byte i of the hash is position 8 i + j, so the bytes are read in reverse as a number.
+        return F.conv(F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("bigint")
 
-def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: 64 bits as a long. Tokens are counted first; each distinct one is hashed once and adds its count to 64 sums."""
-    words = clean_tokens(docs).withColumn("h", F.md5(F.encode("token", "UTF-8")))
-    # Bit j of byte i of the hash is position 8 i + j, so the bytes are read in reverse as a number.
-    number = F.conv(F.concat(*[F.substring("h", 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("bigint")
-    words = words.select("doc_id", "n", number.alias("bits"))
-    sums = [F.sum(F.when(F.shiftrightunsigned("bits", i).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"s{i}") for i in range(64)]
-    fp = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col(f"s{i}") > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)])
-    found = words.groupBy("doc_id").agg(*sums).select("doc_id", fp.alias("fp"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("fp", F.lit(0).cast("bigint")).alias("fp"))
+    hashed = docs.select("doc_id", F.transform(tokens(F.coalesce(F.col("text"), F.lit(""))), number).alias("hashes"))
+    ones = lambda i: F.size(F.filter("hashes", lambda h: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1)) == 1))
+    bits = [F.when(2 * ones(i) > F.size("hashes"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
+    return hashed.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
 
 
 def near_fingerprints(marked: DataFrame, max_bits: int = 3) -> DataFrame:

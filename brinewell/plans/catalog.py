@@ -387,7 +387,7 @@ def lru_hit_rate(spark, d):
 
 @query
 def lru_mixed(spark, d):
-    op = F.when(F.col("tombstone"), "DELETE").otherwise("GET")
+    op = F.when(F.col("tombstone"), "DELETE").when(F.col("seq") % 3 == 0, "PUT").otherwise("GET")
     return control.lru_mixed(kv_ops(spark, d).select("seq", "key", op.alias("op")), CACHE // 4, SHARDS)
 
 
@@ -416,6 +416,5 @@ def stream_windowed_counts(spark, d):
     """Operations a day by event time; the last windows, still open at the watermark, are counted too."""
     at = scratch_path(spark, "stream-counts")
     counts = streaming.windowed_counts(as_ops(stream_of(spark, d, "events")), "1 day", "1 hour").select(F.unix_micros("start").alias("day_us"), "ops", "deletes")
-    name = f"counts_{at[-12:]}"
-    counts.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{at}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    streaming.write_updates(counts, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return streaming.latest(spark, f"{at}/out", "day_us", "day_us bigint, ops bigint, deletes bigint")

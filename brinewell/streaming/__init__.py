@@ -35,6 +35,22 @@ def windowed_counts(ops: DataFrame, width: str, late: str) -> DataFrame:
     return ops.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", width).alias("w")).agg(F.count("*").alias("ops"), F.sum(F.col("tombstone").cast("bigint")).alias("deletes")).select("w.start", "w.end", "ops", "deletes")
 
 
+def write_updates(rows: DataFrame, path: str, checkpoint: str):
+    """Every micro-batch writes the rows that it changed to a folder of its own; a batch that is run again replaces its own only."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """The last version of each key in folders written by write_updates."""
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
+    names = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("x")).select(key, "x.*")
+
+
 def limit_stream(requests: DataFrame, capacity: int, interval_us: int) -> DataFrame:
     """key, seq, allowed: a token bucket for each key, kept between micro-batches; within one, requests go by time and seq."""
 

@@ -213,6 +213,30 @@ def test_lru_against_one_cache(spark, capacity, chunks):
     assert values(control.lru_hits(frame(spark, trace, "seq bigint, key string"), capacity, chunks), "seq", "hit") == expected
 
 
+def test_only_held_keys_fill_the_cache(spark):
+    rng, store_keys, caches, expected, ops = random.Random(4), set(), {}, [], []
+    import zlib
+
+    for i in range(600):
+        key, op = f"k{rng.randrange(12)}", rng.choice(["GET", "GET", "GET", "PUT", "DELETE"])
+        ops.append((i, key, op))
+        cache = caches.setdefault(zlib.crc32(key.encode()) % 2, [])
+        hit = key in cache
+        if hit:
+            cache.remove(key)
+        if hit or op == "GET" and key in store_keys:
+            cache.append(key)
+        del cache[:-3]
+        if op == "GET":
+            expected.append((i, hit))
+        elif op == "PUT":
+            store_keys.add(key)
+        else:
+            store_keys.discard(key)
+    got = values(control.lru_mixed(frame(spark, ops, "seq bigint, key string, op string"), 3, 2), "seq", "hit")
+    assert got == expected and {h for _, h in got} == {True, False}
+
+
 def test_dictionary_round_trip(spark):
     ops = frame(spark, random_log(100))
     names = dictionary.build(ops)
