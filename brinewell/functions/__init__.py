@@ -58,6 +58,11 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def words(text: Column) -> Column:
+    """Lower-cased ASCII words."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII words without stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), 1), lambda w: ~F.array_contains(F.array(*map(F.lit, STOP_WORDS)), w))
+    return F.filter(words(text), lambda w: ~F.array_contains(F.array(*map(F.lit, STOP_WORDS)), w))

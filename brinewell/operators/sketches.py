@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.functions import first_set_bit, seeded_slot, tokens, u64_bits, u64_hex
+from brinewell.functions import STOP_WORDS, first_set_bit, seeded_slot, u64_bits, u64_hex, words
 
 
 def _slots(item: Column, m: int, k: int) -> Column:
@@ -66,17 +69,21 @@ def hll_estimate(registers: DataFrame, p: int, by: Sequence[str] = ()) -> DataFr
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: 64 bits as a long. A document's tokens are hashed and added up in its own row: nothing is shuffled."""
-
-    def number(token: Column) -> Column:
-        h = F.md5(F.encode(token, "UTF-8"))
-        # Bit j of byte i of the hash is position 8 i + j, so the bytes are read in reverse as a number.
-        return F.conv(F.concat(*[F.substring(h, 15 - 2 * i, 2) for i in range(8)]), 16, -10).cast("bigint")
-
-    hashed = docs.select("doc_id", F.transform(tokens(F.coalesce(F.col("text"), F.lit(""))), number).alias("hashes"))
-    ones = lambda i: F.size(F.filter("hashes", lambda h: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1)) == 1))
-    bits = [F.when(2 * ones(i) > F.size("hashes"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
-    return hashed.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp"))
+    """doc_id, fp: 64 bits as a long. A document's tokens are hashed and added up in its own row, so nothing is shuffled; a batch hashes each distinct token once."""
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in them:
+            lists = b.column("words")
+            known, at = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+            # Bit j of byte i of a hash is position 8 i + j.
+            digests = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in known.dictionary.to_pylist()), np.uint8).reshape(-1, 8)
+            votes, where = 2 * np.unpackbits(digests, axis=1, bitorder="little").astype(np.int8) - 1, known.indices.to_numpy()
+            votes[[i for i, t in enumerate(known.dictionary.to_pylist()) if t in STOP_WORDS]] = 0
+            ones = np.array([votes[where[a:z]].sum(axis=0, dtype=np.int64) > 0 for a, z in zip(at, at[1:], strict=False)], bool).reshape(-1, 64)
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(np.packbits(ones, axis=1, bitorder="little").view("<i8").reshape(-1))})
+
+    cleaned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    return cleaned.mapInArrow(batches, "doc_id bigint, fp bigint")
 
 
 def near_fingerprints(marked: DataFrame, max_bits: int = 3) -> DataFrame:
