@@ -282,6 +282,41 @@ def test_cross_parsing_against_brute_force(texts):
         assert [round(r * len(code) / b) for r, b in zip(rates, parser.bits, strict=True)] == [phrases(code, as_text(sample[k])) for k in parser.languages]
 
 
+def test_interleaved_transitions():
+    rng = random.Random(3)
+    for width, n in ((5, 200), (3000, 4000), (60, 3000)):
+        nxt = langid.automaton([rng.randrange(width) for _ in range(n)])
+        held, place = langid.interleaved(nxt, width)
+        assert len(set(place.tolist())) == len(place) and len(held) < 4 * (n + width) + 2 * sum(map(len, nxt))
+        for s, moves in enumerate(nxt):
+            row = held[place[s] : place[s] + width]
+            mine = np.flatnonzero(row >> 32 == place[s])
+            assert {int(c): int(row[c] & 0xFFFFFFFF) for c in mine} == {c: int(place[x]) for c, x in moves.items()}
+
+
+def test_three_hundred_languages_and_rare_letters(spark):
+    """Every language has words of its own; half of them letters of its own that are rare over all."""
+    rng = random.Random(7)
+    words = {}
+    for k in range(300):
+        letters = "abcdefghijklmnop" if k % 2 else [chr(0x4E00 + 60 * k + i) for i in range(60)]
+        words[f"l{k:03d}"] = ["".join(rng.choices(letters, k=rng.randint(3, 6))) for _ in range(40)]
+    rows = [(i * 300 + k, " ".join(rng.choices(words[lang], k=30)), lang) for i in range(10) for k, lang in enumerate(words)]
+    got = langid.language_report(frame(spark, rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    lang = {r[0]: r[2] for r in rows}
+    assert len(got) > 400 and sum(r.lang_pred == lang[r.doc_id] for r in got) > 0.98 * len(got)
+
+
+def test_scripts_mixed_in_one_sample(spark):
+    """Thousands of letters in one language leave the others theirs."""
+    rng = random.Random(8)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(3000)], "ja": [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(0, 3000, 3)], "el": [chr(0x3B1 + i) for i in range(24)], "ru": [chr(0x430 + i) for i in range(32)], "uk": [*map(chr, range(0x430, 0x448)), *"іїєґ"]}
+    rows = [(5 * i + k, " ".join("".join(rng.choices(x, k=4)) for _ in range(25)), lang) for i in range(60) for k, (lang, x) in enumerate(scripts.items())]
+    got = langid.language_report(frame(spark, rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    lang = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == lang[r.doc_id] for r in got) > 0.95 * len(got)
+
+
 def test_languages_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op5_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
