@@ -1,8 +1,8 @@
 """Token ids in Arrow files of fixed-size-list batches: equal-length sequences and masks, read without copying.
 
-Texts are encoded with a ready tokenizer. Every whitespace-delimited piece of a plain text is encoded once per worker
-and looked up afterwards, which gives the ids that encoding the whole text gives; texts with characters for which
-that is not certain are encoded whole. Documents are dealt out by ranges of doc_id, sorted, packed back to back into
+Texts are encoded with a ready tokenizer. Where its file splits and normalises as `_BY_PIECES` says, every piece of a plain
+text between white space is encoded once per worker and looked up afterwards, which gives the ids that encoding the whole
+text gives; texts with characters for which that is not certain, and all texts of other tokenizers, are encoded whole. Documents are dealt out by ranges of doc_id, sorted, packed back to back into
 sequences of seq_len ids, and written by each task to one Arrow IPC file. The index (which rows of which file hold a
 document) is written by Spark in the same job, so only files of tasks that succeeded are ever read.
 
@@ -13,6 +13,7 @@ are read. Texts are never cut: a long one spans sequences. The last sequence of
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -36,6 +37,15 @@ BATCH_SEQS = 256
 PARTITION_BYTES = 32 << 20
 _LETTERS = "a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżžſ"
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\\s{_LETTERS}0-9²³¹¼-¾]+")
+#: What a tokenizer file must say for its pieces to be encoded apart: fixed values.
+_BY_PIECES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
 #: Anything else may be normalised, split or lower-cased in ways that depend on its neighbours.
 _NOT_PLAIN = r"[^\t\n\r -~¡-įı-ž]|<\|"
 _SLICE_BYTES, _CACHE = 4 << 20, 150_000
@@ -78,6 +88,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.model, self.seen = self.tokenizer.model, _Cache(_CACHE)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        rules = json.loads(tokenizer_json)
+        special = all(t["content"].startswith("<|") and not t["lstrip"] and not t["rstrip"] for t in rules["added_tokens"])
+        model = rules["model"]
+        self.by_pieces = special and model["type"] == "BPE" and not model.get("dropout") and all(rules.get(k) == v for k, v in _BY_PIECES.items())
         self.symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
 
     @classmethod
@@ -120,7 +134,7 @@ class Encoder:
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _SLICE_BYTES, "right")))
             part = texts.slice(at, upto - at)
-            odd = pc.match_substring_regex(part, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+            odd = pc.match_substring_regex(part, _NOT_PLAIN).to_numpy(zero_copy_only=False) if self.by_pieces else np.ones(len(part), bool)
             if not odd.any():
                 yield self._plain(part)
             else:
@@ -205,11 +219,15 @@ class _Writer:
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """Writes the files and the index below folder; returns the index: part, file, doc_id, first (place in the file), n_tokens."""
-    grid = [i / 2000 for i in range(1, 2000)]
-    seen = docs.select(F.col("doc_id").cast("long").alias("d"), F.octet_length(F.col("text").cast("string")).alias("n")).agg(F.sum("n").alias("bytes"), F.percentile_approx("d", grid, 20000).alias("at")).first()
-    n = max(1, min(len(grid) + 1, -(-(seen["bytes"] or 0) // partition_bytes)))
-    bounds = sorted({seen["at"][round(i * (len(grid) + 1) / n) - 1] for i in range(1, n)}) if seen["at"] else []
+    """Writes the files and the index below folder; returns the index: part, file, doc_id, first (place in the file), n_tokens.
+
+    There is a range of doc_id, and a file, for every partition_bytes of text, however much there is; tasks sort their
+    range with spilling and write it as it comes, so partition_bytes may be raised to have fewer files.
+    """
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()["bytes"] or 0
+    grid = [i / -(-total // partition_bytes) for i in range(1, -(-total // partition_bytes))]
+    at = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), grid, max(20_000, 10 * len(grid))).alias("at")).first()["at"] if grid else None
+    bounds = sorted(set(at or []))
     dealt = encoded(docs, tokenizer_json, bounds, end_id).repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +239,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, seq_len
                 if part != now:
                     if writer:
                         writer.close()
-                    now, name = part, f"tokens-{part:05d}-{attempt}.arrow"
+                    now, name = part, f"tokens-{part:08d}-{attempt}.arrow"
                     writer = _Writer(folder, name, dtype, seq_len)
                 firsts.append(writer.add(np.frombuffer(ids.as_buffer(), dtype)))
                 names.append(name)
