@@ -19,6 +19,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +27,18 @@ from brinewell.llm.shared import FOLDS, HELD_OUT, bound_batches, fold, release_m
 
 STATS = (
     "log_chars", "log_words", "word_len", "upper", "digit", "symbol", "stop", "space", "line_breaks", "non_ascii",
-    "distinct", "adjacent_repeats", "top_word", "long_words", "short_words", "repeated_lines", "word_len_spread", "pipe",
+    "distinct", "adjacent_repeats", "top_word", "long_words", "short_words", "repeated_lines", "word_len_spread",
 )
 #: Fold of the training rows that calibrates; the other training folds fit the ridge.
 CALIBRATION_FOLD = 1
 BINS = 2000
-_UPPER, _DIGIT, _SYMBOL, _STOP, _SPACE, _BREAK, _LETTER, _HIGH, _PIPE = range(9)
+#: Labelled rows a task sums, and how many sums of tasks' sums reach the driver.
+TASK_ROWS, LANES = 50_000, 32
+_UPPER, _DIGIT, _SYMBOL, _STOP, _SPACE, _BREAK, _LETTER, _HIGH = range(8)
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros((9, 256), dtype=np.float32)
+    out = np.zeros((8, 256), dtype=np.float32)
     for b in range(256):
         c = chr(b)
         if b >= 0x80:
@@ -53,7 +56,6 @@ def _classes() -> np.ndarray:
             out[_SPACE, b] = 1
         else:
             out[_SYMBOL, b] = 1
-            out[_PIPE, b] = c == "|"
     return out
 
 
@@ -87,7 +89,7 @@ def statistics(text: str | None) -> list[float]:
         float(np.log1p(len(text))), float(np.log1p(n)), min(30.0, float(lens.mean())), upper / max(1.0, letters), count[_DIGIT] / size,
         min(2.0, count[_SYMBOL] / n), count[_STOP] / n, count[_SPACE] / size, count[_BREAK] / n, count[_HIGH] / size,
         len(tally) / n**0.9, sum(map(eq, words, words[1:])) / n, max(tally.values()) / n, float((lens > 12).mean()), float((lens <= 3).mean()),
-        1 - len(set(lines)) / max(1, len(lines)), min(20.0, float(lens.std())), min(1.0, count[_PIPE] / n),
+        1 - len(set(lines)) / max(1, len(lines)), min(20.0, float(lens.std())),
     ]
 
 
@@ -140,7 +142,7 @@ def isotonic(centres: np.ndarray, rate: np.ndarray, weight: np.ndarray) -> tuple
     return p[:, 2] / p[:, 1], (p[:, 0] + 0.0) / p[:, 1]
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, n_features: int = 256, bandwidth: float = 4.0, ridge: float = 1e-3, partitions: int = 32, seed: int = 17) -> QualityModel:
+def fit_quality(stats: DataFrame, labels: DataFrame, n_features: int = 256, bandwidth: float = 4.0, ridge: float = 1e-3, seed: int = 17) -> QualityModel:
     """Fits the model from labelled rows outside the held-out fold. stats: doc_id, stats of all documents."""
     d = len(STATS)
     sums = stats.agg(*[f(F.element_at("stats", i + 1)).alias(f"{n}{i}") for i in range(d) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -164,14 +166,15 @@ def fit_quality(stats: DataFrame, labels: DataFrame, n_features: int = 256, band
             gram += x.T @ np.hstack([x, y[:, None]])
             n += len(y)
         if n:
-            yield pa.record_batch({"lane": pa.array([int(n) % 8], pa.int32()), "n": pa.array([n], pa.int64()), "gram": pa.array([gram.tobytes()], pa.binary())})
+            yield pa.record_batch({"lane": pa.array([TaskContext.get().partitionId() % LANES], pa.int32()), "n": pa.array([n], pa.int64()), "gram": pa.array([gram.tobytes()], pa.binary())})
 
     def add(pdf):
         total = sum(np.frombuffer(x) for x in pdf["gram"])
         return pdf.iloc[:1].assign(n=int(pdf["n"].sum()), gram=[total.tobytes()])
 
     schema = "lane int, n long, gram binary"
-    parts = train.where(F.col("fold") != CALIBRATION_FOLD).select("stats", "y").repartition(partitions).mapInArrow(normal_equations, schema).groupBy("lane").applyInPandas(add, schema).collect()  # at most 8 rows
+    tasks = max(LANES, -(-train.count() // TASK_ROWS))  # from the rows alone, so the sums are added alike on any cluster
+    parts = train.where(F.col("fold") != CALIBRATION_FOLD).select("stats", "y").repartition(tasks).mapInArrow(normal_equations, schema).groupBy("lane").applyInPandas(add, schema).collect()  # at most LANES rows
     n = sum(r.n for r in parts)
     if not n:
         return model

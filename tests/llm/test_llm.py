@@ -102,6 +102,42 @@ def test_quality_on_held_out_rows(spark):
     assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.3)).all()
 
 
+def test_quality_against_a_plain_fit(spark):
+    """One dense system, and isotonic levels by their min-max formula."""
+    import zlib
+
+    d = "/root/testdata/sf0.01"
+    documents, marks = (spark.read.parquet(f"{d}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    x = np.array([quality.statistics(t) for t in documents["text"]])
+    ids = documents["doc_id"].tolist()
+    quality_of = {int(k): float(q) for k, q in zip(marks["doc_id"], marks["quality"], strict=True) if q == q}
+    part = lambda k: zlib.crc32(str(k).encode()) % 5
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    rng = np.random.default_rng(17)
+    directions, shifts = rng.normal(size=(x.shape[1], 256)) / 4.0, rng.uniform(0, 2 * np.pi, 256)
+    z = np.clip((x - mean) / spread, -6, 6)
+    f = np.hstack([np.sqrt(2 / 256) * np.cos(z @ directions + shifts), z, np.ones((len(z), 1))])
+    fit = [i for i, k in enumerate(ids) if k in quality_of and part(k) not in (0, 1)]
+    held = [i for i, k in enumerate(ids) if k in quality_of and part(k) == 1]
+    penalty = np.sqrt(1e-3 * len(fit) * np.r_[np.ones(f.shape[1] - 1), 1e-6])
+    weights = np.linalg.lstsq(np.vstack([f[fit], np.diag(penalty)]), np.r_[[quality_of[ids[i]] for i in fit], np.zeros(f.shape[1])], rcond=None)[0]
+    raw = f @ weights
+    bins = {}
+    for i in held:
+        bins.setdefault(int(np.clip((raw[i] + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1)), []).append(quality_of[ids[i]])
+    order = sorted(bins)
+    y, w = np.array([np.mean(bins[b]) for b in order]), np.array([float(len(bins[b])) for b in order])
+    average = lambda a, b: (y[a:b] * w[a:b]).sum() / w[a:b].sum()
+    levels = np.array([max(min(average(a, b) for b in range(i + 1, len(y) + 1)) for a in range(i + 1)) for i in range(len(y))]).round(12)
+    centre = (np.array(order) + 0.5) * 2 / quality.BINS - 0.5
+    pools = [np.flatnonzero(levels == v) for v in np.unique(levels)]
+    scores = np.interp(raw, [(centre[p] * w[p]).sum() / w[p].sum() for p in pools], [levels[p[0]] for p in pools])
+    got = {r.doc_id: r.score for r in queries.op1_quality_classifier(spark, d).collect()}
+    assert len(got) == len(ids)
+    assert np.mean([abs(got[k] - s) < 1e-3 for k, s in zip(ids, scores, strict=True)]) > 0.98
+
+
 def test_quality_does_not_learn_from_held_out_labels(spark, docs, labels):
     wrong = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = ({r.doc_id: r.score for r in quality.quality_scores(docs, x).collect()} for x in (labels, wrong))
@@ -512,6 +548,24 @@ def test_pieces_give_the_ids_of_whole_texts(tokenizer_path):
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_get_whole_texts(tokenizer_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rules = json.loads(open(tokenizer_path).read())
+    assert tokenfiles.Encoder(json.dumps(rules)).by_pieces
+    cased = rules | {"normalizer": {"type": "NFC"}}
+    texts = ["Hello  World, it's ME\n\n  42 times", "", None, "don't STOP", "  lead and trail "]
+    for other in (json.dumps(cased), open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()):
+        encoder, whole, got = tokenfiles.Encoder(other), Tokenizer.from_str(other), []
+        assert not encoder.by_pieces
+        for ids, counts in encoder.encode(pa.array(texts)):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_round_trip(spark, docs, texts, tokenizer_path, tmp_path):
     from tokenizers import Tokenizer
 
