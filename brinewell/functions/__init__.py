@@ -66,3 +66,18 @@ def words(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII words without stop words."""
     return F.filter(words(text), lambda w: ~F.array_contains(F.array(*map(F.lit, STOP_WORDS)), w))
+
+
+def varint(x: Column) -> Column:
+    """An unsigned number at seven bits a byte, lowest first; all bytes but the last have their top bit set."""
+    last = varint_length(x) - 1
+    digit = lambda i: F.call_function("shiftrightunsigned", x, (i * 7).cast("int")).bitwiseAND(127) + F.when(i < last, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.lpad(F.hex(digit(i)), 2, "0")), ""))
+
+
+def varint_value(data: Column) -> Column:
+    """The number that such bytes encode; null for no bytes."""
+    places = F.sequence(F.lit(0), F.octet_length(data) - 1)
+    byte = lambda i: F.conv(F.substring(F.hex(data), 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+    value = F.aggregate(places, F.lit(0).cast("bigint"), lambda a, i: a.bitwiseOR(F.call_function("shiftleft", byte(i).bitwiseAND(127), (i * 7).cast("int"))))
+    return F.when(F.octet_length(data) > 0, value)

@@ -138,5 +138,37 @@ def lru_mixed(ops: DataFrame, capacity: int, shards: int) -> DataFrame:
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seq").mapInPandas(replay, "shard long, seq long, hit boolean")
 
 
+class FifoPool:
+    """Blocks in the order in which they came; a lookup moves nothing, a miss adds the block and the oldest goes."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity, self.blocks = max(1, capacity), OrderedDict()
+
+    def get(self, block: str) -> bool:
+        if block in self.blocks:
+            return True
+        if len(self.blocks) >= self.capacity:
+            self.blocks.popitem(last=False)
+        self.blocks[block] = None
+        return False
+
+
+def fifo_hits(gets: DataFrame, capacity: int, shards: int) -> DataFrame:
+    """shard, seq, hit for lookups gets(seq, key) of blocks: a pool for each shard of the keys, rows streaming in order."""
+
+    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, pool = None, None
+        for pdf in parts:
+            out = []
+            for shard, key in zip(pdf["shard"], pdf["key"], strict=True):
+                if shard != now:
+                    now, pool = shard, FifoPool(capacity)
+                out.append(pool.get(key))
+            yield pdf[["shard", "seq"]].assign(hit=out)
+
+    dealt = gets.select(F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(shards)).cast("bigint").alias("shard"), "seq", "key")
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "seq").mapInPandas(replay, "shard long, seq long, hit boolean")
+
+
 def hit_rate(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("gets"), F.sum(F.col("hit").cast("bigint")).alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"))

@@ -36,21 +36,32 @@ def numbered_pages(live: DataFrame, size: int) -> DataFrame:
 
 
 class Pager:
-    """Forward and back through a scan; the last pages seen are kept, as bounds of their keys."""
+    """Forward and back through a scan; the pages nearest to the present one are kept, at most so many.
+
+    A page that is kept isn't read again; the next one begins after the last key of the present one, and going back
+    beyond the pages kept runs the scan again. Only pages reach the driver.
+    """
 
     def __init__(self, live: DataFrame, size: int, cache: int) -> None:
-        self.live, self.size, self.cache, self.ends = live, size, cache, [None]
-        self.number = 0
+        self.live, self.size, self.cache = live, size, max(1, cache)
+        self.number, self.pages = 0, {}
+
+    def _show(self, number: int, rows: list) -> list:
+        self.number = number
+        self.pages[number] = rows
+        while len(self.pages) > self.cache:
+            del self.pages[max(self.pages, key=lambda n: abs(n - number))]
+        return rows
 
     def next(self) -> list:
-        rows = next_page(self.live, self.ends[self.number], self.size).collect()
-        if rows:
-            self.number += 1
-            self.ends = [*self.ends[: self.number], rows[-1]["key"]]
-        return rows
+        kept = self.pages.get(self.number + 1)
+        if kept is None:
+            last = self.pages[self.number][-1]["key"] if self.number else None
+            kept = next_page(self.live, last, self.size).collect()
+        return self._show(self.number + 1, kept) if kept else []
 
     def back(self) -> list:
         if self.number <= 1:
             return []
-        self.number -= 1
-        return next_page(self.live, self.ends[self.number - 1], self.size).collect()
+        kept = self.pages.get(self.number - 1)
+        return self._show(self.number - 1, page(self.live, self.number - 1, self.size).collect() if kept is None else kept)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell import streaming
-from brinewell.functions import entry_crc, tokens
+from brinewell.functions import entry_crc, tokens, varint, varint_value
 from brinewell.operators import control, dictionary, integrity, logs, runs, scans, sketches, versions
 from brinewell.plans.options import bloom_size, count_min_size
 from brinewell.plans.oracle import SQL as SQL
-from brinewell.sources import as_ops, as_requests, kv_ops, kv_orders, kv_orders_log, kv_urls, put_status, store, stream_of, table
+from brinewell.sources import LIMITED, OK, UNKNOWN, as_ops, as_requests, kv_ops, kv_orders, kv_orders_log, kv_urls, put_status, store, stream_of, table
 from brinewell.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,9 @@ RUN_OPS, SEGMENT_OPS, MEMTABLE, BLOCK_ROWS, PAGE = 1000, 400, 500, 16, 100
 THINNING, SHARDS, CACHE = 8, 8, 20
 SEGMENT_BYTES, HEADER = 65_536, 30
 PAYLOAD_LIMIT = 4096
+#: Bytes of a block of the log and blocks of a segment that is filled greedily; bytes of a fragment; properties of runs.
+BLOCK_BYTES, SEGMENT_BLOCKS = 512, 16
+FRAGMENT = 4096
 BLOOM = bloom_size(150, 0.02)
 COUNT_MIN = count_min_size(0.01, 0.01)
 HLL_P = 10
@@ -106,11 +109,22 @@ def kv_scan_keyset(spark, d):
 # ---- commands
 
 
+def _code():
+    """Status of an event as a command, before limits."""
+    op = F.create_map(*[F.lit(x) for x in ("click", "GET", "view", "RANGE", "purchase", "PUT", "signup", "DELETE")])
+    return F.when(op[F.col("event_type")].isNull(), UNKNOWN).when(op[F.col("event_type")] == "PUT", put_status(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.col("props"), 24)).otherwise(OK)
+
+
 @query
 def kv_status_codes(spark, d):
-    op = F.create_map(*[F.lit(x) for x in ("click", "GET", "view", "RANGE", "purchase", "PUT", "signup", "DELETE")])
-    code = F.when(op[F.col("event_type")].isNull(), 4).when(op[F.col("event_type")] == "PUT", put_status(F.concat(F.lit("user:"), F.col("user_id").cast("string")), F.col("props"), 24)).otherwise(0)
-    return table(spark, d, "events").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("commands"))
+    return table(spark, d, "events").select(_code().alias("code")).groupBy("code").agg(F.count("*").alias("commands"))
+
+
+@query
+def kv_limited_commands(spark, d):
+    """Every command with its status; one that its key's bucket refuses is limited, whatever else it would be."""
+    refused = control.bucket_decisions(_requests(spark, d), CAPACITY, INTERVAL_US).where("not allowed").select("seq", F.lit(LIMITED).alias("limited"))
+    return table(spark, d, "events").select(F.col("event_id").alias("seq"), _code().alias("own")).join(refused, "seq", "left").select("seq", F.coalesce("limited", "own").alias("code"))
 
 
 @query
@@ -253,6 +267,99 @@ def wal_segment_pack_nominal(spark, d):
     return logs.pack(kv_ops(spark, d), F.lit(HEADER) + F.octet_length("key") + F.octet_length("value"), SEGMENT_BYTES)
 
 
+@query
+def wal_segment_pack_greedy(spark, d):
+    return logs.pack_greedy(kv_ops(spark, d), F.octet_length("key") + F.octet_length("value"), BLOCK_BYTES, SEGMENT_BLOCKS, HEADER, SHARDS)
+
+
+def _crcs(ops):
+    return ops.select(entry_crc(F.col("key"), F.col("value")).alias("crc"))
+
+
+@query
+def wal_flushed_add(spark, d):
+    ops = _ops(spark, d)
+    return logs.add_flushed(_crcs(ops.where("gen < 3")).distinct(), _crcs(ops.where("gen = 3")))
+
+
+@query
+def wal_flushed_remove(spark, d):
+    ops = _ops(spark, d)
+    return logs.remove_flushed(_crcs(ops.where("gen < 4")).distinct(), _crcs(_log(spark, d).where("segment = 0")))
+
+
+# ---- the stored log and stored runs: written to the shared folder, then read
+
+
+def _stored_log(spark, d):
+    at = scratch_path(spark, "log")
+    store.append_log(kv_ops(spark, d).select("seq", "key", "value", "tombstone"), at, SEGMENT_OPS)
+    return at
+
+
+_ENTRY = ("seq", "key", "value", "tombstone", "crc")
+
+
+@query
+def wal_replay(spark, d):
+    return store.replay(spark, _stored_log(spark, d)).select(*_ENTRY)
+
+
+@query
+def wal_replay_segment(spark, d):
+    return store.replay(spark, _stored_log(spark, d), 3).select(*_ENTRY)
+
+
+@query
+def wal_quarantine(spark, d):
+    """Entries of a stored log whose value was damaged after it was written, every 97th."""
+    damaged = store.replay(spark, _stored_log(spark, d)).withColumn("value", F.when(F.col("seq") % 97 == 0, F.concat("value", F.lit("~"))).otherwise(F.col("value")))
+    return store.split_corrupt(damaged)[1].select("seq", "key", "crc")
+
+
+@query
+def wal_fragments(spark, d):
+    """Texts cut in pieces of so many bytes and put together again."""
+    entries = table(spark, d, "documents").select(F.col("doc_id").alias("entry_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
+    last = F.greatest(F.lit(0), F.ceil(F.octet_length("b") / FRAGMENT).cast("int") - 1)
+    cut = entries.select("entry_id", "b", F.explode(F.sequence(F.lit(0), last)).alias("frag_no")).select("entry_id", "frag_no", F.substring("b", F.col("frag_no") * FRAGMENT + 1, F.lit(FRAGMENT)).alias("bytes"))
+    return store.reassemble(cut).select(F.col("entry_id").alias("doc_id"), F.octet_length("payload").cast("bigint").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
+
+
+@query
+def wal_retention(spark, d):
+    """The stored log after its segments up to the watermark are deleted."""
+    at = _stored_log(spark, d)
+    store.delete_segments(spark, at, logs.low_watermark(_log(spark, d), _flushed(spark, d)).first().low_watermark)
+    return store.replay(spark, at).select("seq", "key")
+
+
+@query
+def sst_stored_runs(spark, d):
+    """Three runs flushed under the next free number, one as a single file; the newest two are read."""
+    at, ops = scratch_path(spark, "runs"), _ops(spark, d)
+    for _ in range(3):
+        gen = store.next_gen(spark, at)
+        store.flush_run(ops.where(F.col("gen") == gen), at, gen, single_file=gen == 1)
+    return store.runs(spark, at, capacity=2).select(F.col("gen").cast("bigint").alias("gen"), "key", "seq", "value", "tombstone")
+
+
+@query
+def sst_manifest(spark, d):
+    """Properties of three runs, one of them merged, read back together with those of the run asked for."""
+    at = scratch_path(spark, "manifest")
+    for gen in range(3):
+        store.describe_run(spark, at, gen, BLOCK_BYTES, merged=gen == 1, compressed=gen == 2)
+    asked = store.run_properties(spark, at, 1).select("gen", F.lit(True).alias("asked"))
+    return store.run_properties(spark, at).join(F.broadcast(asked), "gen", "left").select("gen", "block_size", "merged", "compressed", F.array_join("components", ",").alias("components"), F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
+@query
+def kv_varint(spark, d):
+    x = table(spark, d, "orders").select((F.col("o_orderkey").cast("bigint") * F.col("o_orderkey")).alias("x")).withColumn("data", varint(F.col("x")))
+    return x.select("x", F.hex("data").alias("encoded"), varint_value(F.col("data")).alias("decoded"))
+
+
 # ---- sketches
 
 
@@ -391,6 +498,11 @@ def lru_mixed(spark, d):
     return control.lru_mixed(kv_ops(spark, d).select("seq", "key", op.alias("op")), CACHE // 4, SHARDS)
 
 
+@query
+def fifo_pool(spark, d):
+    return control.fifo_hits(kv_ops(spark, d).select("seq", "key"), CACHE // 4, SHARDS)
+
+
 # ---- streams: every micro-batch that is there is processed, then the result is read
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields, replace
+from dataclasses import asdict, dataclass, fields, replace
 from math import ceil, e, log
 
 
@@ -41,6 +41,10 @@ class Options:
             raise ValueError(f"unknown options: {sorted(unknown)}")
         return replace(cls(), **given)
 
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(asdict(self), f, indent=2)
+
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:
     """Bits and hash functions of a Bloom filter for n elements and false-positive rate p."""

@@ -112,6 +112,39 @@ _LRU = (
     "dist AS (SELECT a.seq, count(DISTINCT b.key) AS n FROM acc a JOIN kv_ops b ON b.seq > a.prev AND b.seq < a.seq GROUP BY a.seq), "
     "hits AS (SELECT a.seq, a.key, a.prev IS NOT NULL AND coalesce(d.n, 0) < 20 AS hit FROM acc a LEFT JOIN dist d USING (seq))"
 )
+_SHARDS = f"shards AS (SELECT key, {_crc('key')} % 8 AS shard FROM (SELECT DISTINCT key FROM kv_ops))"
+_HELD = "coalesce(last_value(CASE WHEN op <> 'GET' THEN op = 'PUT' END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"
+_TRACE = (
+    f"trace AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM (SELECT shard, seq, key, op, {_HELD} AS held, octet_length(encode(key)) + octet_length(encode(value)) AS size "
+    "FROM (SELECT *, CASE WHEN tombstone THEN 'DELETE' WHEN seq % 3 = 0 THEN 'PUT' ELSE 'GET' END AS op FROM kv_ops) JOIN shards USING (key)))"
+)
+_START = "SELECT DISTINCT shard, 0::BIGINT AS rn, 0::BIGINT AS seq"
+_STEP = "FROM s JOIN trace q ON q.shard = s.shard AND q.rn = s.rn + 1"
+_IN, _LAST = "list_contains(s.keys, q.key)", "list_slice({0}, greatest(1, len({0}) - 4), len({0}))".format("list_append(s.keys, q.key)")
+_LRU_MIXED = (
+    f"s(shard, rn, seq, op, keys, hit) AS ({_START}, '' AS op, []::VARCHAR[] AS keys, false AS hit FROM trace UNION ALL SELECT q.shard, q.rn, q.seq, q.op, "
+    f"CASE WHEN {_IN} THEN list_append(list_filter(s.keys, lambda k: k <> q.key), q.key) WHEN q.op = 'GET' AND q.held THEN {_LAST} ELSE s.keys END, {_IN} {_STEP})"
+)
+_FIFO = f"s(shard, rn, seq, keys, hit) AS ({_START}, []::VARCHAR[] AS keys, false AS hit FROM trace UNION ALL SELECT q.shard, q.rn, q.seq, CASE WHEN {_IN} THEN s.keys ELSE {_LAST} END, {_IN} {_STEP})"
+_GREEDY = (
+    f"s(shard, rn, seq, key, gen, keys) AS ({_START}, '' AS key, 0::BIGINT AS gen, []::VARCHAR[] AS keys FROM trace UNION ALL SELECT q.shard, q.rn, q.seq, q.key, CASE WHEN len(s.keys) >= 16 THEN s.gen + 1 ELSE s.gen END, "
+    f"CASE WHEN len(s.keys) >= 16 THEN [q.key] WHEN {_IN} THEN s.keys ELSE list_append(s.keys, q.key) END {_STEP})"
+)
+_MORE = "ceil(greatest(0, size - (482 - p)) / 482.0)::BIGINT"
+_PACK = (
+    f"s(shard, rn, seq, segment, b, p, size, pieces, eb, ep) AS ({_START}, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM fits UNION ALL "
+    f"SELECT shard, rn, seq, segment, b, p, size, {_MORE} + 1, b + {_MORE}, CASE WHEN {_MORE} = 0 THEN p + 30 + size ELSE 30 + size - (482 - p) - ({_MORE} - 1) * 482 END FROM ("
+    f"SELECT shard, rn, seq, size, CASE WHEN b + {_MORE} >= 16 THEN segment + 1 ELSE segment END AS segment, CASE WHEN b + {_MORE} >= 16 THEN 0 ELSE b END AS b, CASE WHEN b + {_MORE} >= 16 THEN 0 ELSE p END AS p FROM ("
+    "SELECT q.shard, q.rn, q.seq, q.size::BIGINT AS size, s.segment, CASE WHEN s.ep > 482 THEN s.eb + 1 ELSE s.eb END AS b, CASE WHEN s.ep > 482 THEN 0 ELSE s.ep END AS p FROM s JOIN fits q ON q.shard = s.shard AND q.rn = s.rn + 1)))"
+)
+_FITS = "fits AS (SELECT shard, seq, size, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM trace WHERE size <= 7712)"
+_FLUSHED = "SELECT DISTINCT c.crc FROM ops o JOIN crcs c ON o.key = c.key AND o.value = c.value"
+_STORED = "SELECT o.seq, o.key, o.value, o.tombstone, c.crc FROM kv_ops o JOIN crcs c ON o.key = c.key AND o.value = c.value"
+_CODE = (
+    "CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 4 WHEN event_type <> 'purchase' THEN 0 WHEN length(coalesce(props, '')) = 0 THEN 2 "
+    "WHEN octet_length(encode('user:' || user_id::VARCHAR)) + octet_length(encode(props)) > 24 THEN 3 ELSE 0 END"
+)
+_DIGIT = "lpad(hex(((x >> (7 * i)) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END), 2, '0')"
 _LOG = "log AS (SELECT seq, seq // 400 AS segment FROM kv_ops), done AS (SELECT seq FROM ops WHERE gen < (SELECT max(gen) FROM ops) - 1)"
 _EXPIRED = "expired AS (SELECT segment, count(*) AS entries FROM log LEFT JOIN done USING (seq) WHERE segment < (SELECT max(segment) FROM log) GROUP BY segment HAVING count(*) = count(done.seq))"
 _DICT = "dict AS (SELECT key, row_number() OVER (ORDER BY s) AS key_id FROM (SELECT key, min(seq) AS s FROM kv_ops GROUP BY key))"
@@ -201,6 +234,24 @@ SQL: dict[str, str] = {
     "lru_hit_rate": _with(_KV, _LRU, "SELECT count(*) AS gets, sum(hit::BIGINT)::BIGINT AS hits, round(avg(hit::INTEGER), 6) AS hit_rate FROM hits"),
 }
 SQL |= {
+    "kv_limited_commands": _with(_REQUESTS, _BUCKET, f"SELECT e.event_id AS seq, CASE WHEN NOT s.allowed THEN 6 ELSE {_CODE} END AS code FROM events e LEFT JOIN s ON s.seq = e.event_id", recursive=True),
+    "kv_varint": f"SELECT x, array_to_string(list_transform(range(0, n), lambda i: {_DIGIT}), '') AS encoded, x AS decoded FROM (SELECT x, {_varint('x')} AS n FROM (SELECT o_orderkey::BIGINT * o_orderkey AS x FROM orders))",
+    "mem_generations_greedy": _with(_KV, _SHARDS, _TRACE, _GREEDY, "SELECT shard, seq, key, gen FROM s WHERE rn > 0", recursive=True),
+    "lru_mixed": _with(_KV, _SHARDS, _TRACE, _LRU_MIXED, "SELECT shard, seq, hit FROM s WHERE op = 'GET'", recursive=True),
+    "fifo_pool": _with(_KV, _SHARDS, _TRACE, _FIFO, "SELECT shard, seq, hit FROM s WHERE rn > 0", recursive=True),
+    "wal_segment_pack_greedy": _with(_KV, _SHARDS, _TRACE, _FITS, _PACK, 'SELECT shard, seq, segment, b AS block, p AS "offset", pieces FROM s WHERE rn > 0', recursive=True),
+    "wal_flushed_add": _with(_KV, _OPS, _CRCS, f"{_FLUSHED} WHERE gen < 4"),
+    "wal_flushed_remove": _with(_KV, _OPS, _CRCS, f"{_FLUSHED} WHERE gen < 4 EXCEPT {_FLUSHED} WHERE o.seq < 400"),
+    "wal_replay": _with(_KV, _CRCS, _STORED),
+    "wal_replay_segment": _with(_KV, _CRCS, f"{_STORED} WHERE o.seq // 400 = 3"),
+    "wal_quarantine": _with(_KV, _CRCS, f"SELECT seq, key, crc FROM ({_STORED}) WHERE seq % 97 = 0"),
+    "wal_fragments": "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "wal_retention": _with(_KV, _OPS, _LOG, _EXPIRED, "SELECT seq, key FROM kv_ops WHERE seq // 400 > coalesce((SELECT max(segment) FROM log WHERE segment < (SELECT min(segment) FROM log WHERE segment NOT IN (SELECT segment FROM expired))), -1)"),
+    "sst_stored_runs": _with(_KV, _OPS, _RUNS, "SELECT gen, key, seq, value, tombstone FROM runs WHERE gen IN (1, 2)"),
+    "sst_manifest": (
+        "SELECT gen::BIGINT AS gen, 512::BIGINT AS block_size, gen = 1 AS merged, gen = 2 AS compressed, CASE WHEN gen = 1 THEN 'data,blocksize,merge,compression' ELSE 'data,index,summary,metadata,bloomfilter,blocksize,merge,compression' END AS components, "
+        "gen = 1 AS asked FROM (VALUES (0), (1), (2)) g(gen)"
+    ),
     "stream_kv_snapshot": SQL["kv_snapshot"],
     "stream_token_bucket": SQL["token_bucket_decisions"],
     "stream_windowed_counts": "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day_us, count(*) AS ops, sum((event_type = 'error')::BIGINT)::BIGINT AS deletes FROM events GROUP BY 1",

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from brinewell.functions import entry_crc
 
+# The components of a run, one file each or merged in one.
+COMPONENTS = ("data", "index", "summary", "metadata", "bloomfilter", "blocksize", "merge", "compression")
+MERGED_COMPONENTS = ("data", "blocksize", "merge", "compression")
+
 
 def append_log(ops: DataFrame, path: str, segment_ops: int) -> None:
     """Appends operations, with their checksum, to segments of so many sequence numbers."""
@@ -81,3 +85,15 @@ def save(df: DataFrame, path: str) -> DataFrame:
     """Writes a derived table (index, summary, sketch, dictionary, checksums) and reads it back."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def describe_run(spark: SparkSession, path: str, gen: int, block_size: int, merged: bool, compressed: bool) -> None:
+    """Writes the properties of a run, one row of JSON, beside those of the others."""
+    row = (block_size, merged, compressed, list(MERGED_COMPONENTS if merged else COMPONENTS))
+    spark.createDataFrame([row], "block_size bigint, merged boolean, compressed boolean, components array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/gen={gen}")
+
+
+def run_properties(spark: SparkSession, path: str, gen: int | None = None) -> DataFrame:
+    """Properties of all runs, or of one by its number (only its file is read)."""
+    found = spark.read.schema("block_size bigint, merged boolean, compressed boolean, components array<string>, gen bigint").json(path)
+    return found if gen is None else found.where(F.col("gen") == gen)

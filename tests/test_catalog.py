@@ -7,7 +7,7 @@ from oracle import rows_of, sql_rows
 
 from brinewell.plans.catalog import QUERIES, SQL
 
-WITHOUT_SQL = {"mem_generations_greedy", "approx_distinct_native", "cms_native", "lru_mixed"}
+WITHOUT_SQL = {"approx_distinct_native", "cms_native"}
 
 
 def test_sql_covers_the_catalog():
