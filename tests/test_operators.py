@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from brinewell.functions import trim_space, varint_length
+from brinewell.functions import trim_space, varint, varint_length, varint_value
 from brinewell.functions.ordering import row_numbers, running_sum
 from brinewell.operators import control, dictionary, integrity, logs, runs, scans, sketches, versions
 from brinewell.plans.options import Options, bloom_size, count_min_size
@@ -287,3 +287,98 @@ def test_options(tmp_path):
     path.write_text('{"colour": 1}')
     with pytest.raises(ValueError):
         Options.load(str(path))
+
+
+def placed_by_bytes(sizes, block, blocks, header):
+    """Start (segment, block, offset) and pieces of entries, writing byte by byte; a segment that an entry overflows is closed."""
+
+    def write(at, offset, size):
+        first, pieces, left = None, 0, size
+        while True:
+            if offset + header > block:
+                at, offset = at + 1, 0
+            if at >= blocks:
+                return None
+            first = first or (at, offset)
+            pieces, offset = pieces + 1, offset + header
+            while left and offset < block:
+                left, offset = left - 1, offset + 1
+            if not left:
+                return first, pieces, at, offset
+
+    segment = at = offset = 0
+    for size in sizes:
+        done = write(at, offset, size)
+        if done is None:
+            segment, done = segment + 1, write(0, 0, size)
+        first, pieces, at, offset = done
+        yield segment, *first, pieces
+
+
+@pytest.mark.parametrize(("block", "blocks", "header"), [(50, 5, 30), (40, 3, 39), (64, 8, 7)])
+def test_greedy_packing_against_bytes(spark, block, blocks, header):
+    rng, limit = random.Random(block), blocks * (block - header)
+    sizes = [rng.randint(1, limit) if rng.random() < 0.5 else rng.randint(1, max(1, limit // 8)) for _ in range(400)]
+    packer = logs.Packer(block, blocks, header)
+    expected = list(placed_by_bytes(sizes, block, blocks, header))
+    assert [packer.place(n) for n in sizes] == expected
+    ops = frame(spark, [(i, "k", "v" * (n - 1), False) for i, n in enumerate(sizes)] + [(400, "k", "v" * limit, False)])
+    got = values(logs.pack_greedy(ops, F.octet_length("key") + F.octet_length("value"), block, blocks, header, 1), "seq", "segment", "block", "offset", "pieces")
+    assert got == [(i, *e) for i, e in enumerate(expected)]
+
+
+def test_fifo_pool_against_a_list(spark):
+    rng, pool, expected = random.Random(5), [], []
+    trace = [(i, f"b{rng.randrange(9)}") for i in range(500)]
+    for i, block in trace:
+        expected.append((i, block in pool))
+        if block not in pool:
+            pool = [*pool, block][-4:]
+    got = values(control.fifo_hits(frame(spark, trace, "seq bigint, key string"), 4, 1), "seq", "hit")
+    assert got == expected and {h for _, h in got} == {True, False}
+
+
+def test_varint_bytes(spark):
+    numbers = [0, 1, 127, 128, 300, 16383, 16384, (1 << 32) - 1, (1 << 63) - 1, -1]
+
+    def encoded(x):
+        out, x = [], x & (1 << 64) - 1
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        return bytes([*out, x])
+
+    got = frame(spark, [(x,) for x in numbers], "x bigint").withColumn("data", varint(F.col("x"))).select("x", "data", varint_value(F.col("data")).alias("back")).collect()
+    assert {r.x: bytes(r.data) for r in got} == {x: encoded(x) for x in numbers} and all(r.back == r.x for r in got)
+    assert frame(spark, [(None,), (b"",)], "b binary").select(varint_value(F.col("b"))).collect() == [(None,), (None,)]
+
+
+def test_pages_kept_are_bounded_and_not_read_again(spark):
+    live = frame(spark, [(f"k{i:02d}", str(i)) for i in range(23)], "key string, value string")
+    pager = scans.Pager(live, 5, 2)
+    assert pager.back() == []
+    pages = [[r.key for r in pager.next()] for _ in range(5)]
+    assert pages == [[f"k{i:02d}" for i in range(n, min(n + 5, 23))] for n in range(0, 25, 5)]
+    assert pager.next() == [] and pager.number == 5 and sorted(pager.pages) == [4, 5]
+    kept = pager.pages[4]
+    assert pager.back() is kept
+    for n in (3, 2, 1):
+        assert [r.key for r in pager.back()] == pages[n - 1] and len(pager.pages) <= 2
+    assert pager.back() == [] and [r.key for r in pager.next()] == pages[1]
+    nothing = scans.Pager(live.where("false"), 5, 2)
+    assert nothing.next() == [] and nothing.back() == [] and nothing.next() == []
+
+
+def test_flushed_sets_and_run_properties(spark, tmp_path):
+    crcs = lambda *x: frame(spark, [(i,) for i in x], "crc bigint")
+    assert values(logs.add_flushed(crcs(1, 2), crcs(2, 3, 3)), "crc") == [(1,), (2,), (3,)]
+    assert values(logs.remove_flushed(crcs(1, 2, 3), crcs(2, 2, 9)), "crc") == [(1,), (3,)]
+    at = str(tmp_path / "manifest")
+    store.describe_run(spark, at, 0, 50, merged=False, compressed=True)
+    store.describe_run(spark, at, 1, 50, merged=True, compressed=False)
+    store.describe_run(spark, at, 1, 60, merged=True, compressed=False)
+    assert values(store.run_properties(spark, at), "gen", "block_size", "merged", "compressed") == [(0, 50, False, True), (1, 60, True, False)]
+    assert store.run_properties(spark, at, 1).first().components == list(store.MERGED_COMPONENTS)
+    path = str(tmp_path / "options.json")
+    Options(page_size=7).save(path)
+    assert Options.load(path) == Options(page_size=7)
