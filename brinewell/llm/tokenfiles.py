@@ -48,7 +48,8 @@ _BY_PIECES = {
 }
 #: Anything else may be normalised, split or lower-cased in ways that depend on its neighbours.
 _NOT_PLAIN = r"[^\t\n\r -~¡-įı-ž]|<\|"
-_SLICE_BYTES, _CACHE = 4 << 20, 150_000
+#: Bytes of text that are taken apart at once, and pieces in half a cache: two workers stand beside an executor's heap.
+_SLICE_BYTES, _CACHE = 1 << 19, 150_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -93,6 +94,8 @@ class Encoder:
         model = rules["model"]
         self.by_pieces = special and model["type"] == "BPE" and not model.get("dropout") and all(rules.get(k) == v for k, v in _BY_PIECES.items())
         self.symbols = str.maketrans({chr(b): s for b, s in _byte_symbols().items()})
+        del rules, model
+        release_memory()  # the parsed file
 
     @classmethod
     def of(cls, tokenizer_json: str) -> Encoder:
@@ -113,11 +116,16 @@ class Encoder:
             self.seen.put(piece, got)
         return got
 
+    def pieces(self, them: list[str]) -> list[bytes]:
+        """Ids of each piece."""
+        young = self.seen.young
+        return [young.get(p) or self.piece(p) for p in them]
+
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         bounds = split.offsets.to_numpy().astype(np.int64)
         pieces = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        where, pool = pieces.indices.to_numpy(), [self.piece(p) for p in pieces.dictionary.to_pylist()]
+        where, pool = pieces.indices.to_numpy(), self.pieces(pieces.dictionary.to_pylist())
         lens = np.fromiter(map(len, pool), np.int32, len(pool)) // self.dtype.itemsize
         begins = np.cumsum(lens, dtype=np.int32) - lens
         each = lens[where]
@@ -140,11 +148,11 @@ class Encoder:
             else:
                 ids, counts = self._plain(pc.if_else(pa.array(odd), "", part))
                 places = np.flatnonzero(odd)
-                whole = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast([part[int(i)].as_py() for i in places], add_special_tokens=False)]
                 pieces = np.split(ids, np.cumsum(counts)[:-1])
-                for i, w in zip(places, whole, strict=True):
-                    pieces[i] = w
-                    counts[i] = len(w)
+                for i in places:  # one by one: an encoding takes about a hundred bytes a token
+                    [whole] = self.tokenizer.encode_batch_fast([part[int(i)].as_py()], add_special_tokens=False)
+                    pieces[i] = np.array(whole.ids, self.dtype)
+                    counts[i] = len(pieces[i])
                 yield np.concatenate(pieces), counts
             at = upto
 
